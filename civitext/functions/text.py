@@ -31,7 +31,7 @@ EMOJI_RANGES = (
     ("24C2", "1F251"),
 )
 # Characters mapped onto an equivalent one.
-EQUIVALENTS = {"ሕ": "ሀ", "ሆ": "ሀ", "ᨀ": "አ"}
+EQUIVALENTS = {"\u1215": "\u1200", "\u1206": "\u1200", "\u1a00": "\u12a0"}
 # The core Ethiopic block.
 ETHIOPIC = r"\x{1200}-\x{137F}"
 
