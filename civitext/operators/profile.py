@@ -61,14 +61,18 @@ def length_frequencies(df: DataFrame) -> DataFrame:
 def length_histogram(frequencies: DataFrame, bins: int = 40) -> DataFrame:
     """Equal-width bins from the shortest to the longest text, empty bins included.
 
-    A bin holds its lower edge but not its upper one; the last holds both.
+    A bin holds its lower edge but not its upper one; the last holds both. If
+    all texts have one length, the range is widened by a half on either side.
     """
     whole = Window.partitionBy("dataset")
-    lo, hi = F.min("length").over(whole), F.max("length").over(whole)
-    ranged = frequencies.withColumn("lo", lo).withColumn("hi", hi)
+    ranged = frequencies.withColumn("lo", F.min("length").over(whole).cast("double"))
+    ranged = ranged.withColumn("hi", F.max("length").over(whole).cast("double"))
+    margin = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    ranged = ranged.withColumn("margin", margin).withColumns(
+        {"lo": F.col("lo") - F.col("margin"), "hi": F.col("hi") + F.col("margin")}
+    )
     place = F.width_bucket(F.col("length"), F.col("lo"), F.col("hi"), F.lit(bins))
-    # All texts of one length: there is no width to divide.
-    binned = ranged.withColumn("bin", F.coalesce(F.least(place.cast("int"), F.lit(bins)), F.lit(1)))
+    binned = ranged.withColumn("bin", F.least(place.cast("int"), F.lit(bins)))
     per_bin = binned.groupBy("dataset", "lo", "hi", "bin").agg(F.sum("n").alias("n"))
     # At most ``bins`` rows per dataset are grouped here.
     filled = per_bin.groupBy("dataset", "lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
