@@ -15,10 +15,9 @@ from pyspark.sql.types import StringType
 
 # Character classes, written so that Java and RE2 read them alike.
 # All Unicode white space, and the characters of a word.
-WHITESPACE = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+_LATIN_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}"
+_OTHER_SPACE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITESPACE = _LATIN_SPACE + _OTHER_SPACE
 WORD = r"\p{L}\p{N}_"
 # The code point ranges removed as emoji. The last range is wide:
 # it also holds CJK, kana, Hangul and the extended Ethiopic blocks.
@@ -38,9 +37,10 @@ ETHIOPIC = r"\x{1200}-\x{137F}"
 URL_PATTERN = rf"https?://[^{WHITESPACE}]+|www\.[^{WHITESPACE}]+"
 MENTION_PATTERN = rf"@[{WORD}]+"
 HASHTAG_PATTERN = rf"#([{WORD}]+)"
-EMOJI_PATTERN = "[" + "".join(rf"\x{{{lo}}}-\x{{{hi}}}" for lo, hi in EMOJI_RANGES) + "]+"
+EMOJI = "".join(rf"\x{{{lo}}}-\x{{{hi}}}" for lo, hi in EMOJI_RANGES)
+EMOJI_PATTERN = f"[{EMOJI}]+"
 PUNCTUATION_PATTERN = r"[\x{21}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7E}]{2,}"
-WHITESPACE_PATTERN = rf"[{WHITESPACE}]+"
+WHITESPACE_PATTERN = f"[{WHITESPACE}]+"
 
 # Text made of these characters only is already in NFC: each is a starter that
 # no composition rule touches (Latin, Cyrillic, Ethiopic, kana, CJK, Hangul
@@ -52,6 +52,15 @@ NFC_STABLE = (
 )
 
 
+# The same classes as Java runs them fastest: it tries the parts of a class one
+# after the other, so an outer range that rules out plain letters at the first
+# comparison halves the time of a pass.
+_FAST_EMOJI = rf"[\x{{24C2}}-\x{{1F6FF}}&&[{EMOJI}]]+"
+_FAST_PUNCTUATION = r"\p{Punct}{2,}"
+_FAST_WHITESPACE = rf"[{_LATIN_SPACE}[\x{{1680}}-\x{{3000}}&&[{_OTHER_SPACE}]]]+"
+_NOT_STABLE = rf"[\x{{300}}-\x{{10FFFF}}&&[^{NFC_STABLE}]]"
+
+
 @F.arrow_udf(StringType())
 def _compose(values: pa.Array) -> pa.Array:
     return pa.array(
@@ -65,7 +74,7 @@ def nfc(text: Column) -> Column:
     ``when`` does not keep a Python UDF from being called, so the test sits in
     the argument: stable rows reach Python as NULL and are taken from the JVM.
     """
-    return F.coalesce(_compose(F.when(text.rlike(f"[^{NFC_STABLE}]"), text)), text)
+    return F.coalesce(_compose(F.when(text.rlike(_NOT_STABLE), text)), text)
 
 
 def null_to_empty(text: Column) -> Column:
@@ -87,16 +96,16 @@ def unwrap_hashtags(text: Column) -> Column:
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, EMOJI_PATTERN, " ")
+    return F.regexp_replace(text, _FAST_EMOJI, " ")
 
 
 def collapse_punctuation(text: Column) -> Column:
     """Replace a run of two or more ASCII punctuation marks by one space."""
-    return F.regexp_replace(text, PUNCTUATION_PATTERN, " ")
+    return F.regexp_replace(text, _FAST_PUNCTUATION, " ")
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, WHITESPACE_PATTERN, " "))
+    return F.trim(F.regexp_replace(text, _FAST_WHITESPACE, " "))
 
 
 def normalise(text: Column) -> Column:

@@ -39,6 +39,20 @@ def unknown_labels(df: DataFrame, task: str | Task) -> DataFrame:
     )
 
 
+def normalise_texts(df: DataFrame, text_col: str = "text", drop_near_empty: bool = True) -> DataFrame:
+    """Normalise a text column and drop what is left of near-empty texts.
+
+    The optimizer copies a projected expression into any filter on it, and may
+    push that filter below joins: the chain would run twice, and over rows that
+    are dropped anyway. It does not look through a generator, so a one-element
+    ``explode`` computes the chain once, where it is written.
+    """
+    others = [c for c in df.columns if c != text_col]
+    once = df.select(*others, F.explode(F.array(text.normalise(F.col(text_col)))).alias(text_col))
+    normalised = once.select(*df.columns)
+    return normalised.filter(~text.is_near_empty(F.col(text_col))) if drop_near_empty else normalised
+
+
 def clean(
     df: DataFrame,
     task: str | Task,
@@ -47,9 +61,7 @@ def clean(
     key: str = "doc_id",
 ) -> DataFrame:
     """Project, normalise, drop near-empty texts and encode: one narrow pass."""
-    rows = encode_labels(project(df, text_col, label_col, key), task)
-    rows = rows.withColumn("text", text.normalise(F.col("text")))
-    return rows.filter(~text.is_near_empty(F.col("text")))
+    return normalise_texts(encode_labels(project(df, text_col, label_col, key), task))
 
 
 def preprocess(

@@ -173,8 +173,7 @@ _text_query("unify_equivalents", corpora.noisy, tx.unify_equivalents)
 
 @query
 def drop_near_empty(spark, sf_dir):
-    texts = corpora.sparse(spark, sf_dir).select("doc_id", tx.normalise(F.col("text")).alias("text"))
-    return texts.filter(~tx.is_near_empty(F.col("text")))
+    return prepare.normalise_texts(corpora.sparse(spark, sf_dir).select("doc_id", "text"))
 
 
 # Labels
@@ -413,8 +412,7 @@ def predict_combined(spark, sf_dir):
 @query
 def stream_score(spark, sf_dir):
     model = _model(spark, sf_dir, HARM)
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(corpora.SCHEMAS["documents"]).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     output, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "stream-checkpoint")
     score_stream(stream, model, output, checkpoint).awaitTermination()
     return _flat(spark.read.parquet(output), HARM)
