@@ -42,6 +42,8 @@ CSV_OPTIONS = {
 def read_csv(spark: SparkSession, path: str, schema: StructType = CORPUS_SCHEMA) -> DataFrame | None:
     """Read a CSV corpus, or return ``None`` when the path does not exist.
 
+    Only an empty field is NULL; words such as ``NA`` are text.
+
     A file with line breaks inside fields is read by one task, so a large
     corpus should lie in many files (as ``writers.write_csv`` leaves it).
     """
