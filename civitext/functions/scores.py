@@ -1,4 +1,9 @@
-"""Class scores: softmax, argmax and the prediction record."""
+"""Class scores: softmax, argmax and the prediction record.
+
+The functions on arrays suit one row per text. For many rows per text there is
+the same arithmetic over one column per class, as SQL text: it compiles into
+the surrounding stage, where array functions with lambdas are interpreted.
+"""
 
 from __future__ import annotations
 
@@ -24,3 +29,16 @@ def score_map(probabilities: Column, labels: Sequence[str]) -> Column:
     """Label -> probability, rounded to four places."""
     names = F.array(*(F.lit(label) for label in labels))
     return F.map_from_arrays(names, F.transform(probabilities, lambda p: F.round(p, 4)))
+
+
+def argmax_sql(scores: Sequence[str]) -> str:
+    """Like ``argmax``, over one column per class."""
+    best = f"greatest({', '.join(scores)})"
+    cases = " ".join(f"WHEN {score} = {best} THEN {i}" for i, score in enumerate(scores))
+    return f"CASE {cases} END"
+
+
+def confidence_sql(scores: Sequence[str]) -> str:
+    """Softmax share of the largest score, over one column per class."""
+    best = f"greatest({', '.join(scores)})"
+    return "1D / (" + " + ".join(f"exp({score} - {best})" for score in scores) + ")"

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civitext.functions import scores as sc
-from civitext.functions import text as tx
 from civitext.functions import tokens as tok
 from civitext.operators.lookup import join_tokens
 from civitext.operators.naive_bayes import SCALE, NaiveBayes
+from civitext.operators.prepare import normalise_texts
 
 
 def _centred(model: NaiveBayes) -> list[Column]:
@@ -35,12 +35,12 @@ def attributions(
 
     Columns: key, ``token``, ``n``, ``label`` and ``confidence`` of the model,
     ``weight`` (centred weight of the token) and ``phi`` (its contribution).
-    Rows are placed by key before the text is taken apart, so counting, scoring
-    and ranking per text share that one shuffle.
+    Normalised texts are placed by key before they are taken apart, so counting,
+    scoring and ranking per text share that one shuffle.
     """
     ids = model.task.ids
-    placed = df.select(key, text_col).repartition(key)
-    rows = placed.select(key, F.explode(tok.words(tx.normalise(F.col(text_col)))).alias("token"))
+    placed = normalise_texts(df.select(key, text_col), text_col, drop_near_empty=False).repartition(key)
+    rows = placed.select(key, F.explode(tok.words(F.col(text_col))).alias("token"))
     terms = rows.groupBy(key, "token").agg(F.count("*").alias("n"))
 
     scaled = [F.round(model.log_weight(c) * SCALE).cast("long") for c in ids]
@@ -53,29 +53,29 @@ def attributions(
     )
     known = join_tokens(terms, table, key, **limits).filter(F.col("total").isNotNull())
 
-    whole_text = Window.partitionBy(key)
+    # One column per class: this runs once per token row.
     priors = model.priors()
-    score = F.array(
-        *(
-            (F.sum(F.col("w")[c] * F.col("n")).over(whole_text) + F.lit(priors[c])) / F.lit(float(SCALE))
-            for c in ids
-        )
-    )
-    decided = (
-        known.withColumn("scores", score)
-        .withColumn("label_id", sc.argmax(F.col("scores")))
-        .withColumn("confidence", F.round(F.array_max(sc.softmax(F.col("scores"))), 4))
+    sums = [f"(sum(w[{c}] * n) OVER (PARTITION BY `{key}`) + {priors[c]}L) / {float(SCALE)!r}D AS s{c}" for c in ids]
+    scores = [f"s{c}" for c in ids]
+    scored = known.selectExpr(f"`{key}`", "token", "n", "centred", "mean_n", *sums)
+    decided = scored.selectExpr(
+        f"`{key}`",
+        "token",
+        "n",
+        "centred",
+        "mean_n",
+        f"{sc.argmax_sql(scores)} AS label_id",
+        f"round({sc.confidence_sql(scores)}, 4) AS confidence",
     )
-    names = F.array(*(F.lit(label) for label in model.task.labels))
-    weight = F.get(F.col("centred"), F.col("label_id"))
-    return decided.select(
-        key,
+    names = ", ".join(f"'{label}'" for label in model.task.labels)
+    return decided.selectExpr(
+        f"`{key}`",
         "token",
         "n",
-        F.get(names, F.col("label_id")).alias("label"),
+        f"array({names})[label_id] AS label",
         "confidence",
-        weight.alias("weight"),
-        (weight * (F.col("n") - F.col("mean_n"))).alias("phi"),
+        "centred[label_id] AS weight",
+        "centred[label_id] * (n - mean_n) AS phi",
     )
 
 

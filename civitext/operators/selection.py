@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civitext.functions import scores as sc
@@ -24,31 +23,27 @@ class Candidate:
     min_count: int = 1
 
 
-def _candidate_weights(model: NaiveBayes, candidates: Sequence[Candidate]) -> list[Column]:
-    """Scaled weights of all candidates in one flat array, class by class.
+def _candidate_weights(model: NaiveBayes, candidates: Sequence[Candidate]) -> str:
+    """Scaled weights of all candidates as one flat SQL array, class by class.
 
     A token below the candidate's limit is unknown to it and weighs 0.
     """
     ids = model.task.ids
-    limits = sorted({c.min_count for c in candidates})
     sums = []
-    for m in limits:
-        kept = F.col("total") >= m
-        sums.append(F.count_if(kept).alias(f"size_{m}"))
-        sums += [
-            F.coalesce(F.sum(F.when(kept, F.col("n")[c])), F.lit(0)).alias(f"tokens_{m}_{c}") for c in ids
-        ]
-    totals = model.counts.agg(*sums).first()
+    for m in sorted({c.min_count for c in candidates}):
+        sums.append(f"count_if(total >= {m}) AS size_{m}")
+        sums += [f"coalesce(sum(n[{c}]) FILTER (WHERE total >= {m}), 0L) AS tokens_{m}_{c}" for c in ids]
+    totals = model.counts.agg(*map(F.expr, sums)).first()
 
     weights = []
     for cand in candidates:
-        size = totals[f"size_{cand.min_count}"]
+        m, alpha = cand.min_count, float(cand.alpha)
+        size = totals[f"size_{m}"]
         for c in ids:
-            denominator = math.log(totals[f"tokens_{cand.min_count}_{c}"] + cand.alpha * size) if size else 0.0
-            log = F.ln(F.col("n")[c] + F.lit(float(cand.alpha))) - F.lit(denominator)
-            known = F.col("total") >= cand.min_count
-            weights.append(F.when(known, F.round(log * SCALE).cast("long")).otherwise(F.lit(0).cast("long")))
-    return weights
+            denominator = math.log(totals[f"tokens_{m}_{c}"] + alpha * size) if size else 0.0
+            log = f"ln(n[{c}] + {alpha!r}D) - {denominator!r}D"
+            weights.append(f"if(total >= {m}, cast(round(({log}) * {float(SCALE)!r}D) AS bigint), 0L)")
+    return f"array({', '.join(weights)})"
 
 
 def evaluate_candidates(
@@ -68,39 +63,34 @@ def evaluate_candidates(
     selects by binary F1. ``validation`` holds normalised text and ``label_id``.
     """
     ids, k = model.task.ids, len(model.task.ids)
-    flat = F.array(*_candidate_weights(model, candidates)).alias("w")
+    flat = F.expr(_candidate_weights(model, candidates)).alias("w")
     rows = validation.select(key, "label_id", F.explode_outer(tok.words(F.col(text_col))).alias("token"))
     joined = join_tokens(rows, model.token_table([flat]), key, **limits)
     width = k * len(candidates)
-    sums = [F.sum(F.coalesce(F.col("w")[i], F.lit(0))).alias(f"s{i}") for i in range(width)]
+    sums = [F.expr(f"sum(coalesce(w[{i}], 0L)) + {model.priors()[i % k]}L AS s{i}") for i in range(width)]
     summed = joined.groupBy(key, "label_id").agg(*sums)
 
-    priors = model.priors()
-    predicted = [
-        sc.argmax(F.array(*(F.col(f"s{j * k + c}") + F.lit(priors[c]) for c in ids)))
-        for j in range(len(candidates))
-    ]
+    predicted = [sc.argmax_sql([f"s{j * k + c}" for c in ids]) for j in range(len(candidates))]
     decisions = summed.select(
-        F.col("label_id").alias("y_true"), F.posexplode(F.array(*predicted)).alias("place", "y_pred")
+        F.col("label_id").alias("y_true"), F.expr(f"posexplode(array({', '.join(predicted)}))").alias("place", "y_pred")
     )
 
-    def f1(c: int) -> Column:
-        true, pred = F.col("y_true") == c, F.col("y_pred") == c
-        ratio = 2 * F.count_if(true & pred) / F.nullif(F.count_if(true) + F.count_if(pred), F.lit(0))
-        return F.coalesce(ratio, F.lit(0.0))
+    def f1(c: int) -> str:
+        hits = f"2 * count_if(y_true = {c} AND y_pred = {c})"
+        return f"coalesce({hits} / nullif(count_if(y_true = {c}) + count_if(y_pred = {c}), 0), 0D)"
 
     if model.task.selection_metric == "f1_binary":
         metric = f1(pos_label)
     else:
-        metric = reduce(lambda a, b: a + b, [f1(c) for c in ids]) / F.lit(float(k))
-    scored = decisions.groupBy("place").agg(metric.alias("f1"))
-    alphas = F.array(*(F.lit(float(c.alpha)) for c in candidates))
-    limits_col = F.array(*(F.lit(c.min_count) for c in candidates))
-    return scored.select(
-        (F.col("place") + 1).alias("candidate"),
-        F.get(alphas, F.col("place")).alias("alpha"),
-        F.get(limits_col, F.col("place")).alias("min_count"),
-        F.round("f1", 6).alias("f1"),
+        metric = f"({' + '.join(f1(c) for c in ids)}) / {k}"
+    scored = decisions.groupBy("place").agg(F.expr(metric).alias("f1"))
+    alphas = ", ".join(f"{float(c.alpha)!r}D" for c in candidates)
+    min_counts = ", ".join(str(c.min_count) for c in candidates)
+    return scored.selectExpr(
+        "place + 1 AS candidate",
+        f"array({alphas})[place] AS alpha",
+        f"array({min_counts})[place] AS min_count",
+        "round(f1, 6) AS f1",
     )
 
 

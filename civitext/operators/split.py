@@ -13,7 +13,6 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,8 +58,8 @@ class Cuts:
         hashed = key_hash(key, self.seed)
         result = F.lit(self.rest)
         for i in reversed(range(len(self.names))):
-            entries = [F.lit(x) for label, b in self.bounds.items() for x in (label, b[i])]
-            bound = F.try_element_at(F.create_map(*entries), label_id)
+            entries = ", ".join(f"{label}, '{b[i]}'" for label, b in self.bounds.items())
+            bound = F.try_element_at(F.expr(f"map({entries})"), label_id)
             result = F.when(hashed <= bound, F.lit(self.names[i])).otherwise(result)
         return result
 
@@ -76,12 +75,12 @@ class _Target:
     rows: int
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _any(conditions: list[str]) -> str:
+    return " OR ".join(f"({c})" for c in conditions)
 
 
-def _inside(t: _Target) -> Column:
-    return (F.col("label_id") == t.label_id) & F.col("h").startswith(t.prefix)
+def _inside(t: _Target) -> str:
+    return f"label_id = {t.label_id} AND startswith(h, '{t.prefix}')"
 
 
 def _narrow(rows: DataFrame, targets: list[_Target]) -> list[_Target]:
@@ -97,10 +96,7 @@ def _narrow(rows: DataFrame, targets: list[_Target]) -> list[_Target]:
     upto = F.sum("n").over(Window.partitionBy("label_id", "parent").orderBy("bucket"))
     ranked = sizes.withColumn("upto", upto)
     wanted = [
-        (F.col("label_id") == t.label_id)
-        & (F.col("parent") == t.prefix)
-        & (F.col("upto") >= t.rank)
-        & (F.col("upto") - F.col("n") < t.rank)
+        f"label_id = {t.label_id} AND parent = '{t.prefix}' AND upto >= {t.rank} AND upto - n < {t.rank}"
         for t in targets
     ]
     found = ranked.filter(_any(wanted)).collect()  # at most one row per target
@@ -133,10 +129,7 @@ def _locate(rows: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], st
             .withColumn("prefix", F.substring("h", 1, width))
             .withColumn("place", place)
         )
-        wanted = [
-            (F.col("label_id") == t.label_id) & (F.col("prefix") == t.prefix) & (F.col("place") == t.rank)
-            for t in group
-        ]
+        wanted = [f"label_id = {t.label_id} AND prefix = '{t.prefix}' AND place = {t.rank}" for t in group]
         hits = ranked.filter(_any(wanted)).select("label_id", "prefix", "place", "h").collect()
         by_place = {(r.label_id, r.prefix, r.place): r.h for r in hits}
         found |= {(t.label_id, t.part): by_place[t.label_id, t.prefix, t.rank] for t in group}

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from civitext.operators.naive_bayes import NaiveBayes
 from civitext.operators.predict import predict
+from civitext.session import spread
 
 
 def score_stream(
@@ -32,7 +33,7 @@ def score_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = predict(batch, model, key, text_col, carry, **limits)
+        scored = predict(spread(batch, key), model, key, text_col, carry, **limits)
         scored.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
