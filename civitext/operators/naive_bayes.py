@@ -72,9 +72,16 @@ class NaiveBayes:
         scaled = [F.round(self.log_weight(c) * SCALE).cast("long") for c in self.task.ids]
         return self.token_table([F.array(*scaled).alias(name)])
 
-    def with_alpha(self, alpha: float) -> NaiveBayes:
-        """The same counts under another smoothing; nothing is retrained."""
-        return replace(self, alpha=alpha)
+    def restricted(self, alpha: float, min_count: int = 1) -> NaiveBayes:
+        """The same counts under another smoothing, without the tokens seen less
+        than ``min_count`` times; nothing is trained again."""
+        if min_count <= 1:
+            return replace(self, alpha=alpha)
+        kept = self.counts.filter(F.col("total") >= min_count)
+        size, chars, tokens = _totals(kept, self.task)
+        return replace(
+            self, counts=kept, alpha=alpha, vocabulary_size=size, vocabulary_bytes=chars, class_tokens=tokens
+        )
 
     def save(self, path: str) -> None:
         self.counts.write.parquet(f"{path}/counts")
@@ -110,6 +117,16 @@ def load(spark: SparkSession, path: str) -> NaiveBayes:
     )
 
 
+def _totals(counts: DataFrame, task: Task) -> tuple[int, int, tuple[int, ...]]:
+    """Rows, bytes of token text, and occurrences per class of a table of counts."""
+    row = counts.agg(
+        F.count("*"),
+        F.coalesce(F.sum(F.octet_length("token")), F.lit(0)),
+        *(F.coalesce(F.sum(F.col("n")[c]), F.lit(0)) for c in task.ids),
+    ).first()
+    return row[0], row[1], tuple(row[2:])
+
+
 def fit(train: DataFrame, task: str | Task, alpha: float = 1.0, text_col: str = "text") -> NaiveBayes:
     """Train on normalised ``text`` and ``label_id``.
 
@@ -123,18 +140,6 @@ def fit(train: DataFrame, task: str | Task, alpha: float = 1.0, text_col: str =
     counts = rows.groupBy("token").agg(F.array(*per_class).alias("n"), F.count("*").alias("total"))
     counts = materialise(counts, "token-counts")
 
-    totals = counts.agg(
-        F.count("*").alias("size"),
-        F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes"),
-        *(F.coalesce(F.sum(F.col("n")[c]), F.lit(0)).alias(f"tokens_{c}") for c in task.ids),
-    ).first()
+    size, chars, tokens = _totals(counts, task)
     by_class = {r.label_id: r.n for r in train.groupBy("label_id").agg(F.count("*").alias("n")).collect()}
-    return NaiveBayes(
-        task,
-        counts,
-        tuple(by_class.get(c, 0) for c in task.ids),
-        tuple(totals[f"tokens_{c}"] for c in task.ids),
-        totals["size"],
-        totals["bytes"],
-        alpha,
-    )
+    return NaiveBayes(task, counts, tuple(by_class.get(c, 0) for c in task.ids), tokens, size, chars, alpha)

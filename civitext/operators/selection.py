@@ -101,6 +101,12 @@ def mark_best(scored: DataFrame) -> DataFrame:
     return scored.withColumn("is_best", place == 1)
 
 
+def best_model(scored: DataFrame, model: NaiveBayes) -> NaiveBayes:
+    """The model of the winning candidate; one row reaches the driver."""
+    winner = mark_best(scored).filter("is_best").first()
+    return model.restricted(winner.alpha, winner.min_count)
+
+
 def early_stopping(history: DataFrame, patience: int = 2) -> DataFrame:
     """Apply early stopping to a history ``task, step, f1``.
 

@@ -228,6 +228,20 @@ def _best(task: str, grid: list[tuple[float, int]]) -> str:
   FROM {task}_f1 JOIN {task}_grid USING (candidate))"""
 
 
+def _best_report(task: str) -> str:
+    """CTEs that end in ``<task>_report``: the best candidate judged on the test part."""
+    chosen = f"(SELECT candidate FROM {task}_best WHERE is_best)"
+    weights = f"SELECT * FROM {task}_cand WHERE candidate = {chosen}"
+    return f"""{_best(task, _GRID)},
+{task}_weights AS ({weights}),
+{task}_held AS (SELECT * FROM {task}_split WHERE split = 'test'),
+{_scored(task, f'{task}_held', 'text')},
+{task}_judged AS (
+  SELECT h.label_id AS y_true, s.pred AS y_pred FROM {task}_held h JOIN {task}_scored s USING (doc_id)),
+{_class_figures(task, f'{task}_judged', f'{task}_figures')},
+{task}_report AS ({_report(_TASK_NAME[task], f'{task}_judged', f'{task}_figures')})"""
+
+
 def _synthetic(task: str, mark: str, name: str = "judged") -> str:
     k = len(_LABELS[task])
     return f"""{name} AS (
@@ -442,6 +456,8 @@ FROM (SELECT doc_id, unnest({_words(_normal())}) AS token FROM documents) GROUP
         sql[f"{task}_train_evaluate"] = _train_evaluate(task)
     sql["select_best_candidate"] = f"""WITH {_best('harm', _GRID)}, {_best('veracity', _GRID)}
 SELECT * FROM harm_best UNION ALL SELECT * FROM veracity_best"""
+    sql["best_model_evaluate"] = f"""WITH {_best_report('harm')}, {_best_report('veracity')}
+SELECT * FROM harm_report UNION ALL SELECT * FROM veracity_report"""
     sql["early_stopping"] = f"""WITH {_candidates('harm', _SCHEDULE)}, {_candidates('veracity', _SCHEDULE)},
 history AS (
   SELECT 'hate_speech' AS task, candidate AS step, f1 FROM harm_f1

@@ -481,13 +481,15 @@ def eval_from_scores(spark, sf_dir):
     return ev.full_report(judged, _names(HARM)).select("f1_macro", "accuracy")
 
 
+def _test_report(prepared: DataFrame, model: naive_bayes.NaiveBayes) -> DataFrame:
+    test = prepared.filter(F.col("split") == "test").withColumnRenamed("label_id", "y_true")
+    predicted = pr.predict(test, model, carry=["y_true"], normalise=False)
+    return ev.full_report(predicted, _names(model.task), model.task.name, y_pred="label_id")
+
+
 def _train_evaluate(spark, sf_dir, task: Task) -> DataFrame:
     prepared = _prepared(spark, sf_dir, task)
-    test = prepared.filter(F.col("split") == "test")
-    predicted = pr.predict(
-        test.withColumnRenamed("label_id", "y_true"), _fit(prepared, task), carry=["y_true"], normalise=False
-    )
-    return ev.full_report(predicted, _names(task), task.name, y_pred="label_id")
+    return _test_report(prepared, _fit(prepared, task))
 
 
 @query
@@ -500,6 +502,19 @@ def veracity_train_evaluate(spark, sf_dir):
     return _train_evaluate(spark, sf_dir, VERACITY)
 
 
+@query
+def best_model_evaluate(spark, sf_dir):
+    """Train, keep the best candidate by its validation metric, report on the test part."""
+
+    def report(task: Task) -> DataFrame:
+        prepared = _prepared(spark, sf_dir, task)
+        model = _fit(prepared, task)
+        scored = selection.evaluate_candidates(prepared.filter(F.col("split") == "val"), model, GRID)
+        return _test_report(prepared, selection.best_model(scored, model))
+
+    return report(HARM).unionByName(report(VERACITY))
+
+
 # Explanation
 
 

@@ -211,6 +211,18 @@ def test_candidates_equal_brute_force(spark, request, task, fixture, limits):
     assert [r.candidate for r in best] == [min(out, key=lambda r: (-r.f1, r.candidate)).candidate]
 
 
+def test_best_model_is_the_restricted_one(spark, harm):
+    rows, model, _ = harm
+    held = frame(spark, corpus(3, 60, seed=8))
+    scored = selection.evaluate_candidates(held, model, [selection.Candidate(0.3, 40)])
+    best = selection.best_model(scored, model)
+    brute = Brute(rows, 3, 0.3, 40)
+    assert best.vocabulary_size == len(brute.vocab) < model.vocabulary_size
+    for r in pr.class_scores(held, [best]).collect():
+        text = next(t for k, t, _ in corpus(3, 60, seed=8) if k == r.doc_id)
+        assert r.scores0 == pytest.approx(brute.scores(text), abs=1e-6)
+
+
 @pytest.mark.parametrize(
     "metrics, stop, kept",
     [

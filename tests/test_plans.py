@@ -76,6 +76,7 @@ def test_attribution_shuffles_texts_once(spark, model):
 def test_samples_are_limited_before_the_shuffle(spark):
     text = plan(profile.sample_per_class(corpora.harm(spark, SF_DIR)))
     assert text.count("WindowGroupLimit") == 2
+    assert text.count("FileScan") == 2  # documents and labels, each read once
 
 
 def test_no_query_multiplies_rows(spark, model, prepared):
