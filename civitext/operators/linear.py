@@ -20,8 +20,8 @@ from civitext.tasks import Task, get_task
 class LinearConfig:
     """Training settings. ``features`` bounds the model whatever the vocabulary."""
 
-    features: int = 1 << 18
-    iterations: int = 20
+    features: int = 1 << 16
+    iterations: int = 10
     weight_decay: float = 0.01
 
 

@@ -10,9 +10,10 @@ table but common in the rows is still spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
@@ -53,15 +54,66 @@ def join_tokens(
     if tokens.fits(max_rows, max_bytes):
         return rows.join(F.broadcast(tokens.table), "token", "left")
 
-    total = F.col(tokens.total)
-    is_head = total.cast("decimal(38,0)") * max_rows >= tokens.occurrences
-    head = tokens.table.filter(is_head)
-    tail = tokens.table.filter(~is_head)
-
+    head, tail = _parts(tokens, max_rows)
     probed = rows.join(F.broadcast(head), "token", "left")
-    settled = F.col("token").isNull() | total.isNotNull()
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-    open_rows = probed.filter(~settled).select(*rows.columns, salt.alias("salt"))
-    salted_tail = tail.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    resolved = open_rows.join(salted_tail, ["token", "salt"], "left").drop("salt")
+    settled = F.col("token").isNull() | F.col(tokens.total).isNotNull()
+    open_rows = probed.filter(~settled).select(*rows.columns, _salt(key, salts).alias("salt"))
+    resolved = open_rows.join(_salted(tail, salts), ["token", "salt"], "left").drop("salt")
     return probed.filter(settled).unionByName(resolved)
+
+
+def sum_by_key(
+    rows: DataFrame,
+    tokens: TokenTable,
+    sums: Mapping[str, str],
+    key: str = "doc_id",
+    carry: Sequence[str] = (),
+    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Sums, per key, of whole-number SQL expressions over the joined rows.
+
+    The same as ``join_tokens`` and a ``groupBy``, but a large table does not
+    make it read the rows twice: the first grouping adds up what the head
+    settles and keeps the few other tokens of a key as a list, and only those
+    lists are taken apart for the join with the tail. An expression must be 0
+    where the table's columns are NULL.
+    """
+    keys = [key, *carry]
+    totals = [F.expr(f"sum({e})").alias(name) for name, e in sums.items()]
+    if tokens.fits(max_rows, max_bytes):
+        return rows.join(F.broadcast(tokens.table), "token", "left").groupBy(*keys).agg(*totals)
+
+    head, tail = _parts(tokens, max_rows)
+    probed = rows.join(F.broadcast(head), "token", "left")
+    unsettled = F.when(F.col(tokens.total).isNull(), F.col("token"))  # collect_list skips NULL
+    first = probed.groupBy(*keys).agg(*totals, F.collect_list(unsettled).alias("open"))
+
+    # Place 0 carries the sums so far. Its token is NULL and joins nothing; its
+    # salt is the whole hash, so these rows spread over all tasks.
+    listed = F.concat(F.array(F.lit(None).cast("string")), F.col("open"))
+    unfolded = first.select(*keys, *sums, F.posexplode(listed).alias("place", "token"))
+    is_sum = F.col("place") == 0
+    salt = F.when(is_sum, F.xxhash64(key)).otherwise(_salt(key, salts))
+    kept = [F.when(is_sum, F.col(name)).otherwise(F.lit(0)).alias(f"kept_{name}") for name in sums]
+    resolved = unfolded.select(*keys, "token", salt.alias("salt"), *kept).join(
+        _salted(tail, salts), ["token", "salt"], "left"
+    )
+    both = [F.expr(f"sum(kept_{name} + {e})").alias(name) for name, e in sums.items()]
+    return resolved.groupBy(*keys).agg(*both)
+
+
+def _parts(tokens: TokenTable, max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Head and tail of a table; the head has at most ``max_rows`` rows."""
+    is_head = F.col(tokens.total).cast("decimal(38,0)") * max_rows >= tokens.occurrences
+    return tokens.table.filter(is_head), tokens.table.filter(~is_head)
+
+
+def _salt(key: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(salts))
+
+
+def _salted(tail: DataFrame, salts: int) -> DataFrame:
+    """Each row once per salt."""
+    return tail.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from civitext.functions import scores as sc
 from civitext.functions import text as tx
 from civitext.functions import tokens as tok
-from civitext.operators.lookup import TokenTable, join_tokens
+from civitext.operators.lookup import TokenTable, sum_by_key
 from civitext.operators.naive_bayes import SCALE, NaiveBayes
 
 
@@ -46,13 +46,8 @@ def class_scores(
     """
     text = tx.normalise(F.col(text_col)) if normalise else F.col(text_col)
     rows = df.select(key, *carry, F.explode_outer(tok.words(text)).alias("token"))
-    joined = join_tokens(rows, _joint_weights(models), key, **limits)
-    sums = [
-        F.sum(F.coalesce(F.col(f"w{i}")[c], F.lit(0))).alias(f"s{i}_{c}")
-        for i, m in enumerate(models)
-        for c in m.task.ids
-    ]
-    summed = joined.groupBy(key, *carry).agg(*sums)
+    sums = {f"s{i}_{c}": f"coalesce(w{i}[{c}], 0L)" for i, m in enumerate(models) for c in m.task.ids}
+    summed = sum_by_key(rows, _joint_weights(models), sums, key, carry, **limits)
 
     def array(i: int, m: NaiveBayes) -> Column:
         priors = m.priors()

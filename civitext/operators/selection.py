@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from civitext.functions import scores as sc
 from civitext.functions import tokens as tok
-from civitext.operators.lookup import join_tokens
+from civitext.operators.lookup import sum_by_key
 from civitext.operators.naive_bayes import SCALE, NaiveBayes
 
 
@@ -65,13 +65,13 @@ def evaluate_candidates(
     ids, k = model.task.ids, len(model.task.ids)
     flat = F.expr(_candidate_weights(model, candidates)).alias("w")
     rows = validation.select(key, "label_id", F.explode_outer(tok.words(F.col(text_col))).alias("token"))
-    joined = join_tokens(rows, model.token_table([flat]), key, **limits)
-    width = k * len(candidates)
-    sums = [F.expr(f"sum(coalesce(w[{i}], 0L)) + {model.priors()[i % k]}L AS s{i}") for i in range(width)]
-    summed = joined.groupBy(key, "label_id").agg(*sums)
+    sums = {f"t{i}": f"coalesce(w[{i}], 0L)" for i in range(k * len(candidates))}
+    summed = sum_by_key(rows, model.token_table([flat]), sums, key, ["label_id"], **limits)
+    priors = model.priors()
+    scored = summed.selectExpr("label_id", *(f"t{i} + {priors[i % k]}L AS s{i}" for i in range(len(sums))))
 
     predicted = [sc.argmax_sql([f"s{j * k + c}" for c in ids]) for j in range(len(candidates))]
-    decisions = summed.select(
+    decisions = scored.select(
         F.col("label_id").alias("y_true"), F.expr(f"posexplode(array({', '.join(predicted)}))").alias("place", "y_pred")
     )
 
@@ -83,10 +83,10 @@ def evaluate_candidates(
         metric = f1(pos_label)
     else:
         metric = f"({' + '.join(f1(c) for c in ids)}) / {k}"
-    scored = decisions.groupBy("place").agg(F.expr(metric).alias("f1"))
+    judged = decisions.groupBy("place").agg(F.expr(metric).alias("f1"))
     alphas = ", ".join(f"{float(c.alpha)!r}D" for c in candidates)
     min_counts = ", ".join(str(c.min_count) for c in candidates)
-    return scored.selectExpr(
+    return judged.selectExpr(
         "place + 1 AS candidate",
         f"array({alphas})[place] AS alpha",
         f"array({min_counts})[place] AS min_count",

@@ -35,14 +35,14 @@ def scratch_root(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder: on a
     cluster, executors would not see a folder of the driver's machine.
     """
-    configured = spark.conf.get(_CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="civitext-")
-    spark.conf.set(_CHECKPOINT_DIR, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="civitext-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

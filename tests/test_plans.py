@@ -65,6 +65,7 @@ def test_large_tables_are_joined_by_salted_shuffle(spark, model):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text and "salt" in text
     assert re.search(r"hashpartitioning\(token#\d+, salt#\d+", text)
+    assert text.count("documents.parquet") == 1  # the texts are still read once
 
 
 def test_attribution_shuffles_texts_once(spark, model):
