@@ -111,7 +111,9 @@ def _parts(tokens: TokenTable, max_rows: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _salt(key: str, salts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(salts))
+    # Declared never NULL, or a NULL test would be pushed into one of the two
+    # branches of a plan and keep them from sharing a shuffle of the texts.
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(salts)), F.lit(0).cast("bigint"))
 
 
 def _salted(tail: DataFrame, salts: int) -> DataFrame:

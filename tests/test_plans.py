@@ -74,6 +74,18 @@ def test_attribution_shuffles_texts_once(spark, model):
         assert plan(df).count("Exchange hashpartitioning") == 1
 
 
+def test_attribution_with_a_large_table_still_shuffles_texts_once(spark, model):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        attributed = explain.attributions(documents(spark), model, max_rows=100)
+        attributed.write.format("noop").mode("overwrite").save()
+        attributed.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan(attributed).split("Initial Plan")[0]
+    assert final.count("documents.parquet") == 1 and "ReusedExchange" in final
+
+
 def test_samples_are_limited_before_the_shuffle(spark):
     text = plan(profile.sample_per_class(corpora.harm(spark, SF_DIR)))
     assert text.count("WindowGroupLimit") == 2
