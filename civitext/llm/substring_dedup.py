@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from civitext.llm import text_arrays as ta
 
 WINDOW = 20
-#: Cells of one sketch row: 64 MiB as the bits that tasks get.
-MAX_CELLS = 1 << 29
+#: Cells of one sketch row: 32 MiB as the bits that tasks get.
+MAX_CELLS = 1 << 28
 #: Cells in one row of the table of merged sketches.
 SLICE = 1 << 20
 #: Windows (or candidates) that a task holds before it sends them on.
@@ -201,10 +201,9 @@ def _removal(window: int, repeated):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may, keys, key_ids = repeated.value, [], []
-        for batch in ta.slices(batches, "text"):
-            kind = batch.column("kind").to_numpy()
+        for batch in ta.slices(batches, "size"):
             ids = batch.column("id").to_numpy()
-            is_key = kind == 0
+            is_key = batch.column("kind").to_numpy() == 0
             if is_key.any():
                 keys.append(pc.fill_null(batch.column("key"), 0).to_numpy()[is_key].view(_U))
                 key_ids.append(ids[is_key])
@@ -212,6 +211,7 @@ def _removal(window: int, repeated):
             if not len(rows):
                 continue
             texts = batch.take(pa.array(rows))
+            texts = texts.append_column("text", ta.unpack(texts.column("packed"), texts.column("size")))
             data, starts, ends, first, _, runs, at = _window_hashes(texts, window)
             own = ids[rows]
             held = (np.concatenate(keys), np.concatenate(key_ids)) if keys else (np.zeros(0, _U), np.zeros(0, np.int64))
@@ -244,6 +244,12 @@ def _removal(window: int, repeated):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in ta.slices(batches, "text"):
+        packed, sizes = ta.pack(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), packed, sizes], names=["id", "doc_id", "packed", "size"])
+
+
 def sketch_bits(docs: DataFrame, most: int = MAX_CELLS) -> int:
     """About one cell for each byte of text, as a power of two, within bounds."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -265,8 +271,9 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     found = docs.select("id", "text").mapInArrow(_candidates(window, repeated), "high long, low int, id long")
     first = found.groupBy("high", "low").agg(F.min("id").alias("id"))
     none = F.lit(None)
-    keys = first.select("id", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), F.col("high").alias("key"))
-    texts = docs.select("id", F.lit(1).alias("kind"), "doc_id", "text", none.cast("long").alias("key"))
+    keys = first.select("id", none.cast("long").alias("doc_id"), none.cast("binary").alias("packed"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("high").alias("key"))
+    texts = docs.mapInArrow(_pack, "id long, doc_id long, packed binary, size long")
+    texts = texts.withColumns({"kind": F.lit(1), "key": none.cast("long")})
     together = keys.unionByName(texts).repartition("id").sortWithinPartitions("id", "kind")
     return together.mapInArrow(_removal(window, repeated), "doc_id long, n_words long, n_removed long, text string")
 

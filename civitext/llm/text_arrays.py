@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; bounds the memory of a task.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -57,10 +57,14 @@ _BYTE_VALUE = mix(np.arange(256, dtype=_U), 7)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices with at most ``limit`` bytes of text, or one row."""
+    """The rows of ``batches`` in slices with at most ``limit`` bytes of text, or one row.
+
+    ``column`` holds the texts, or their sizes.
+    """
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths, dtype=np.int64)
+        sizes = batch.column(column)
+        sizes = sizes if pa.types.is_integer(sizes.type) else pc.binary_length(sizes)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
@@ -69,6 +73,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
             at = upto
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def pack(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each text compressed by itself, for a shuffle, and its size in bytes; null counts as empty."""
+    raw = [t.as_buffer() for t in pc.fill_null(texts, "").cast(pa.binary())]
+    return pa.array([_ZSTD.compress(t, asbytes=True) for t in raw], pa.binary()), pa.array([t.size for t in raw], pa.int64())
+
+
+def unpack(packed: pa.Array, sizes: pa.Array) -> pa.Array:
+    raw = [_ZSTD.decompress(p.as_buffer(), n, asbytes=True) for p, n in zip(packed, sizes.to_pylist())]
+    return pa.array(raw, pa.binary()).cast(pa.string())
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts end to end, and where each text starts, plus the end; null counts as empty."""
     if texts.null_count:
