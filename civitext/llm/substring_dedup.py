@@ -1,19 +1,22 @@
 """Removal of word sequences that occur earlier in the corpus, behind a count-min prefilter.
 
-1. Every task counts its windows in a sketch (two hash rows of cells that hold
-   0, 1 or "2 and more") and sends the cells it touched, as gaps of one byte.
-   Tasks merge the partition sketches slice by slice. A cell never counts less
-   than its windows, so a window whose cells are not both at 2 occurs once.
-2. A second pass sends only windows estimated as repeated, one row for each
-   window and block of texts, and groups them exactly (on a 96-bit fingerprint
-   of the 20 words): the smallest document of each window. Windows that the
-   sketch overestimated meet nobody there, so nothing is lost or added.
-3. Each document gets the list of windows that it is the first to hold, in one
-   shuffle with its text, and drops the words of all other repeated windows.
-
-The sketch is the only thing that is broadcast: at most ``MAX_CELLS`` bits for
-each row. Above about ``MAX_CELLS`` windows it overestimates more often, which
-sends more windows to the exact pass and changes no result.
+Texts are dealt once into blocks of about ``BLOCK_BYTES`` by a hash of their id.
+
+1. Each block counts its windows in a partition sketch: two hash rows of cells.
+   Their number grows with the text, so a sketch is sent as the ascending cells
+   that the block touched, one byte for each gap, in slices. Each slice of the
+   cells is merged over all blocks, and each block is told which of its cells
+   count more than its own one window. A cell never counts less than its
+   windows, so a window whose two cells are not both repeated occurs once.
+2. Blocks send only windows estimated as repeated, one row for each window and
+   block, and those are grouped exactly (on a 96-bit fingerprint of the words):
+   the smallest document of each window. Windows that the sketch overestimated
+   meet nobody there, so nothing is lost or added.
+3. Each block gets the windows that its documents are the first to hold, and
+   drops the words of all its other repeated windows.
+
+Nothing is broadcast or collected; a block, a slice and its cells have a fixed
+expected size, so their number, not their size, grows with the corpus.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from pyspark.sql import functions as F
 from civitext.llm import text_arrays as ta
 
 WINDOW = 20
-#: Cells of one sketch row: 32 MiB as the bits that tasks get.
-MAX_CELLS = 1 << 28
-#: Cells in one row of the table of merged sketches.
-SLICE = 1 << 20
-#: Windows (or candidates) that a task holds before it sends them on.
-HELD = 1 << 20
+#: Bytes of text in a block, on average.
+BLOCK_BYTES = 2 << 20
+#: Cells of a sketch row for each byte of text; about 4 for each word.
+CELLS_PER_BYTE = 0.6
+#: Slices of a sketch row that are merged apart, and the most cells of one.
+SLICES, MOST_CELLS = 64, 1 << 24
 LAST = (1 << 63) - 1
 
 _U = np.uint64
@@ -54,128 +57,102 @@ def _cells(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-def _rows_of_sketch(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each window in both rows."""
-    shift = _U(64 - bits)
-    return [(hashes >> shift).astype(np.uint32), (ta.mix(hashes, 5) >> shift).astype(np.uint32)]
-
-
-def _window_hashes(batch: pa.RecordBatch, window: int):
-    data, bounds = ta.utf8(batch.column("text"))
-    starts, ends, first = ta.words(data, bounds)
-    hashes = ta.hash_words(data, starts, ends)
-    runs, at = ta.hash_runs(hashes, first, window)
-    return data, starts, ends, first, hashes, runs, at
-
-
-def _sketch(window: int, bits: int):
-    schema = pa.schema([("part", pa.int32()), ("ones", pa.binary()), ("more", pa.binary())])
-    width = min(SLICE, 1 << bits)
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        parts, ones, more = [], [], []
-        for row, cells in enumerate(_rows_of_sketch(np.concatenate(held), bits)):
-            cells.sort()
-            head = np.ones(len(cells), bool)
-            head[1:] = cells[1:] != cells[:-1]
-            at = np.flatnonzero(head)
-            twice = np.diff(at, append=len(cells)) > 1
-            cells = cells[at]
-            cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, width, dtype=np.int64))
-            for k in np.flatnonzero(np.diff(cuts)):
-                own, two = cells[cuts[k] : cuts[k + 1]] - k * width, twice[cuts[k] : cuts[k + 1]]
-                parts.append((row << 16) + int(k))
-                ones.append(_gaps(own[~two]))
-                more.append(_gaps(own[two]))
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in ta.slices(batches, "text"):
-            runs = _window_hashes(batch, window)[5]
-            held.append(runs)
-            size += len(runs)
-            if size >= 4 * HELD:
-                yield flush(held)
-                held, size = [], 0
-        if size:
-            yield flush(held)
+def _windows(texts: pa.Table, window: int) -> Iterator[tuple]:
+    """Words and window hashes of a block's texts, a slice at a time."""
+    for batch in ta.slices(iter(texts.combine_chunks().to_batches()), "size"):
+        data, bounds = ta.utf8(ta.unpack(batch.column("packed"), batch.column("size")))
+        starts, ends, first = ta.words(data, bounds)
+        hashes = ta.hash_words(data, starts, ends)
+        yield batch, data, starts, ends, first, hashes, *ta.hash_runs(hashes, first, window)
 
-    return run
 
+class _Sketch:
+    """How windows fall into cells, and cells into slices."""
 
-def _merge(bits: int):
-    """Merged slices as bits of the cells counted twice or more; holds the slices of one task only."""
-    width = min(SLICE, 1 << bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for part, ones, more in zip(*(c.to_pylist() for c in batch.columns)):
-                if part not in seen:
-                    seen[part] = np.zeros(width, bool), np.zeros(width, bool)
-                once, twice = seen[part]
-                one, two = _cells(ones), _cells(more)
-                twice[one[once[one]]] = True
-                once[one] = True
-                once[two] = twice[two] = True
-        for part, (_, twice) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.width = min(MOST_CELLS, max(256, (1 << bits) // SLICES))
+
+    def count(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each row: the distinct cells, their place for each window, and which hold several windows."""
+        for salt in (5, 6):
+            cells, place, n = np.unique(ta.mix(hashes, salt) >> _U(64 - self.bits), return_inverse=True, return_counts=True)
+            yield cells.astype(np.int64), place, n > 1
+
+    def cut(self, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Ascending cells by slice."""
+        slices, at = np.unique(cells // self.width, return_index=True)
+        for k, own in zip(slices.tolist(), np.split(cells, at[1:])):
+            yield k, own - k * self.width
+
+
+def _hashes(texts: pa.Table, window: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, _U), *(x[-2] for x in _windows(texts, window))])
 
-    return run
 
+def _partition_sketch(sketch: _Sketch, window: int):
+    """Rows ``block, row, slice``: cells with one window of the block, and with more."""
+    schema = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("slice", pa.int64()), ("ones", pa.binary()), ("more", pa.binary())])
 
-class _Repeated:
-    """The merged sketch: says whether a window may occur twice. Never says no wrongly."""
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        out = []
+        for row, (cells, _, several) in enumerate(sketch.count(_hashes(texts, window))):
+            more = dict(sketch.cut(cells[several]))
+            ones = dict(sketch.cut(cells[~several]))
+            none = np.zeros(0, np.int64)
+            out += [{"block": key[0].as_py(), "row": row, "slice": k, "ones": _gaps(ones.get(k, none)), "more": _gaps(more.get(k, none))} for k in ones | more]
+        return pa.Table.from_pylist(out, schema=schema)
 
-    def __init__(self, bits: int, rows: list[np.ndarray]):
-        self.bits, self.rows = bits, rows
+    return run
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for row, cells in zip(self.rows, _rows_of_sketch(hashes, self.bits)):
-            out &= (row[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 == 1
-        return out
 
+def _merge(sketch: _Sketch):
+    """For each block, which of its once counted cells others have counted too."""
 
-def _merged_sketch(docs: DataFrame, window: int, bits: int) -> _Repeated:
-    parts = docs.select("text").mapInArrow(_sketch(window, bits), "part int, ones binary, more binary")
-    merged = parts.repartition("part").mapInArrow(_merge(bits), "part int, bits binary")
-    rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    width = min(SLICE, 1 << bits) // 8
-    for part, cells in merged.collect():  # two rows of 2**bits bits, whatever the input
-        at = (part & 0xFFFF) * width
-        rows[part >> 16][at : at + width] = np.frombuffer(cells, np.uint8)
-    return _Repeated(bits, rows)
+    def run(key: tuple, parts: pa.Table) -> pa.Table:
+        once, twice = np.zeros(sketch.width, bool), np.zeros(sketch.width, bool)
+        ones = [_cells(x) for x in parts.column("ones").to_pylist()]
+        for own, more in zip(ones, parts.column("more").to_pylist()):
+            several = _cells(more)
+            twice[own[once[own]]] = True
+            once[own] = True
+            once[several] = twice[several] = True
+        reply = [np.packbits(twice[own]).tobytes() for own in ones]
+        at = [parts.column(c) for c in ("block", "row", "slice")]
+        return pa.table([*at, pa.array([len(x) for x in ones], pa.int32()), pa.array(reply, pa.binary())], names=["block", "row", "slice", "n", "bits"])
 
+    return run
 
-def _candidates(window: int, repeated):
-    schema = pa.schema([("high", pa.int64()), ("low", pa.int32()), ("id", pa.int64())])
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        high, low, ids = (np.concatenate(x) for x in zip(*held))
+def _estimated_repeated(sketch: _Sketch, hashes: np.ndarray, replies: pa.Table) -> np.ndarray:
+    """Whether the merged sketch counts a window at least twice."""
+    out = np.ones(len(hashes), bool)
+    rows = replies.filter(pc.is_valid(replies.column("bits"))).select(["row", "slice", "n", "bits"]).sort_by([("row", "ascending"), ("slice", "ascending")]).to_pylist()
+    for row, (_, place, several) in enumerate(sketch.count(hashes)):
+        told = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in rows if r["row"] == row]
+        several[~several] = np.concatenate([np.zeros(0, np.uint8), *told]).astype(bool)
+        out &= several[place]
+    return out
+
+
+def _candidates(sketch: _Sketch, window: int):
+    """One row for each window estimated as repeated: its smallest id in the block."""
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        runs, second, ids = [np.zeros(0, _U)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for batch, _, _, _, first, hashes, own, at in _windows(texts, window):
+            runs.append(own)
+            second.append(ta.hash_runs(hashes, first, window, 1)[0])
+            ids.append(batch.column("id").to_numpy()[ta.owners(first)[at]])
+        runs = np.concatenate(runs)
+        want = _estimated_repeated(sketch, runs, replies)
+        high, low, ids = runs[want], np.concatenate(second)[want] >> _U(32), np.concatenate(ids)[want]
         order = np.lexsort((ids, low, high))
         high, low, ids = high[order], low[order], ids[order]
         head = np.ones(len(high), bool)
         head[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(high[head].view(np.int64)), pa.array(low[head]), pa.array(ids[head])], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, may = [], 0, repeated.value
-        for batch in ta.slices(batches, "text"):
-            _, _, _, first, hashes, runs, at = _window_hashes(batch, window)
-            want = np.flatnonzero(may(runs))
-            if not len(want):
-                continue
-            second = ta.hash_runs(hashes, first, window, 1)[0][want]
-            ids = batch.column("id").to_numpy()[ta.owners(first)[at[want]]]
-            held.append((runs[want], (second >> _U(32)).astype(np.uint32).view(np.int32), ids))
-            size += len(want)
-            if size >= HELD:
-                yield flush(held)
-                held, size = [], 0
-        if size:
-            yield flush(held)
+        low = low.astype(np.uint32).view(np.int32)
+        return pa.table([pa.array(high[head].view(np.int64)), pa.array(low[head]), pa.array(ids[head])], names=["high", "low", "id"])
 
     return run
 
@@ -196,50 +173,38 @@ def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
     return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(out))
 
 
-def _removal(window: int, repeated):
-    """Rows of a document: first its windows (``key``), then its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, keys, key_ids = repeated.value, [], []
-        for batch in ta.slices(batches, "size"):
-            ids = batch.column("id").to_numpy()
-            is_key = batch.column("kind").to_numpy() == 0
-            if is_key.any():
-                keys.append(pc.fill_null(batch.column("key"), 0).to_numpy()[is_key].view(_U))
-                key_ids.append(ids[is_key])
-            rows = np.flatnonzero(~is_key)
-            if not len(rows):
-                continue
-            texts = batch.take(pa.array(rows))
-            texts = texts.append_column("text", ta.unpack(texts.column("packed"), texts.column("size")))
-            data, starts, ends, first, _, runs, at = _window_hashes(texts, window)
-            own = ids[rows]
-            held = (np.concatenate(keys), np.concatenate(key_ids)) if keys else (np.zeros(0, _U), np.zeros(0, np.int64))
-            keep = np.ones(len(starts), bool)
-            want = np.flatnonzero(may(runs))
-            if len(want):
-                doc = ta.owners(first)[at[want]]
-                here = ta.mix(runs[want] ^ ta.mix(own[doc].view(_U), 3), 4)
-                known = np.isin(here, ta.mix(held[0] ^ ta.mix(held[1].view(_U), 3), 4))
-                # the document's own first start of a window that no smaller document holds stays;
-                # rows that share an id do not cover each other
-                _, head = np.unique(ta.mix(here ^ ta.mix(doc.astype(_U), 9), 10), return_index=True)
-                opens = np.zeros(len(want), bool)
-                opens[head] = True
-                covered = at[want[~(known & opens)]]
-                edge = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(edge, covered, 1)
-                np.add.at(edge, covered + window, -1)
-                keep = np.cumsum(edge)[:-1] == 0
+def _keyed(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return ta.mix(hashes ^ ta.mix(ids.view(_U), 3), 4)
+
+
+def _removal(sketch: _Sketch, window: int):
+    """The block's texts without words of repeated windows that it is not the first to hold."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        repeated = _estimated_repeated(sketch, _hashes(texts, window), told)
+        keys = told.filter(pc.is_valid(told.column("high")))
+        opened = np.sort(_keyed(keys.column("high").to_numpy().view(_U), keys.column("id").to_numpy()))
+        out, done = [], 0
+        for batch, data, starts, ends, first, _, runs, at in _windows(texts, window):
+            want = np.flatnonzero(repeated[done : done + len(runs)])
+            done += len(runs)
+            doc = ta.owners(first)[at[want]]
+            here = _keyed(runs[want], batch.column("id").to_numpy()[doc])
+            known = np.zeros(len(want), bool)
+            if len(opened):
+                known = opened[np.minimum(np.searchsorted(opened, here), len(opened) - 1)] == here
+            # a document's own first start of a window that no smaller document holds stays;
+            # rows that share an id do not cover each other
+            head = np.zeros(len(want), bool)
+            head[np.unique(ta.mix(here ^ ta.mix(doc.astype(_U), 9), 10), return_index=True)[1]] = True
+            covered = at[want[~(known & head)]]
+            edge = np.bincount(covered, minlength=len(starts) + 1) - np.bincount(covered + window, minlength=len(starts) + 1)
+            keep = np.cumsum(edge)[:-1] == 0
             n = np.diff(first)
             left = np.bincount(ta.owners(first)[keep], minlength=len(n))
-            yield pa.RecordBatch.from_arrays(
-                [texts.column("doc_id"), pa.array(n), pa.array(n - left), _kept(data, starts, ends, first, keep)],
-                names=["doc_id", "n_words", "n_removed", "text"],
-            )
-            # rows come by id: keys of the last id may serve one more row, later ones their own
-            stay = held[1] >= own[-1]
-            keys, key_ids = [held[0][stay]], [held[1][stay]]
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(n - left), _kept(data, starts, ends, first, keep)], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -247,16 +212,12 @@ def _removal(window: int, repeated):
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in ta.slices(batches, "text"):
         packed, sizes = ta.pack(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), packed, sizes], names=["id", "doc_id", "packed", "size"])
-
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "id", "doc_id")), packed, sizes], names=["block", "id", "doc_id", "packed", "size"])
 
-def sketch_bits(docs: DataFrame, most: int = MAX_CELLS) -> int:
-    """About one cell for each byte of text, as a power of two, within bounds."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(min(most.bit_length() - 1, max(16, int(size).bit_length())))
 
-
-def remove_repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
+def remove_repeated(
+    docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cells_per_byte: float = CELLS_PER_BYTE
+) -> DataFrame:
     """``doc_id, n_words, n_removed, text``: the texts without words of windows that also start earlier.
 
     Earlier means in a smaller ``doc_id``, or in the same row at an earlier
@@ -265,20 +226,25 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     Texts of fewer than ``window`` words lose nothing. Other columns are not
     used. An empty table gives an empty result.
     """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    sketch = _Sketch(max(8, int(size * cells_per_byte).bit_length()))
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    bits = sketch_bits(docs, max_cells)
-    repeated = spark.sparkContext.broadcast(_merged_sketch(docs, window, bits))
-    found = docs.select("id", "text").mapInArrow(_candidates(window, repeated), "high long, low int, id long")
-    first = found.groupBy("high", "low").agg(F.min("id").alias("id"))
-    none = F.lit(None)
-    keys = first.select("id", none.cast("long").alias("doc_id"), none.cast("binary").alias("packed"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("high").alias("key"))
-    texts = docs.mapInArrow(_pack, "id long, doc_id long, packed binary, size long")
-    texts = texts.withColumns({"kind": F.lit(1), "key": none.cast("long")})
-    together = keys.unionByName(texts).repartition("id").sortWithinPartitions("id", "kind")
-    return together.mapInArrow(_removal(window, repeated), "doc_id long, n_words long, n_removed long, text string")
+
+    def block(x):
+        return F.pmod(F.xxhash64(x), F.lit(blocks))
+
+    packed = docs.withColumn("block", block("id")).mapInArrow(_pack, "block long, id long, doc_id long, packed binary, size long")
+    texts = packed.groupBy("block")
+    parts = texts.applyInArrow(_partition_sketch(sketch, window), "block long, row int, slice long, ones binary, more binary")
+    replies = parts.groupBy("row", "slice").applyInArrow(_merge(sketch), "block long, row int, slice long, n int, bits binary")
+    found = texts.cogroup(replies.groupBy("block")).applyInArrow(_candidates(sketch, window), "high long, low int, id long")
+    first = found.groupBy("high", "low").agg(F.min("id").alias("id")).select(block("id").alias("block"), "high", "id")
+    told = replies.unionByName(first, allowMissingColumns=True)
+    return texts.cogroup(told.groupBy("block")).applyInArrow(_removal(sketch, window), "doc_id long, n_words long, n_removed long, text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    kept = remove_repeated(spark, docs)
+    kept = remove_repeated(docs)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

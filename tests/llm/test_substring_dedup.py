@@ -32,7 +32,7 @@ def brute(rows, window=20):
 
 def got(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted((tuple(r) for r in sd.remove_repeated(spark, docs, **options).collect()), key=str)
+    return sorted((tuple(r) for r in sd.remove_repeated(docs, **options).collect()), key=str)
 
 
 def corpus(seed):
@@ -55,11 +55,18 @@ def test_equals_brute_force(spark, seed):
     assert got(spark, rows) == brute(rows)
 
 
-def test_a_full_sketch_changes_nothing(spark):
+def test_a_full_sketch_and_many_blocks_change_nothing(spark):
     rows = corpus(3)
-    assert got(spark, rows, max_cells=1 << 16) == brute(rows)
-    assert sd.sketch_bits(spark.createDataFrame(rows, "doc_id long, text string"), 1 << 4) == 4
-    assert got(spark, rows, max_cells=1 << 4) == brute(rows)
+    assert got(spark, rows, cells_per_byte=0.001) == brute(rows)
+    assert got(spark, rows, block_bytes=500) == brute(rows)
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame(corpus(3), "doc_id long, text string")
+    result = sd.remove_repeated(docs)
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") >= 2 and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
 
 
 def test_nulls_ties_repeats_and_long_texts(spark):
@@ -71,7 +78,7 @@ def test_nulls_ties_repeats_and_long_texts(spark):
 def test_empty_table_and_other_columns(spark):
     assert got(spark, []) == []
     docs = spark.createDataFrame([(1, "a b", "x", 3)], "doc_id long, text string, id string, kind int")
-    assert [tuple(r) for r in sd.remove_repeated(spark, docs).collect()] == [(1, 2, 0, "a b")]
+    assert [tuple(r) for r in sd.remove_repeated(docs).collect()] == [(1, 2, 0, "a b")]
 
 
 def test_gaps_come_back():
