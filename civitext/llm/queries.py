@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civitext.llm.html_blocks import op7_html_extraction
+from civitext.llm.mixing import OP8_SQL, op8_mixing
+from civitext.llm.quality_cnn import op5_quality_classifier
+from civitext.llm.secret_scan import op6_secret_scan
 from civitext.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = [
     op1_substring_dedup,
+    op5_quality_classifier,
+    op6_secret_scan,
+    op7_html_extraction,
+    op8_mixing,
 ]
 
 
@@ -18,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries are tested against brute force, round trips or held-out rows."""
+    return {"op8_mixing": OP8_SQL}

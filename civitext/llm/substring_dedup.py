@@ -4,7 +4,7 @@ Texts are dealt once into blocks of about ``BLOCK_BYTES`` by a hash of their id.
 
 1. Each block counts its windows in a partition sketch: two hash rows of cells.
    Their number grows with the text, so a sketch is sent as the ascending cells
-   that the block touched, one byte for each gap, in slices. Each slice of the
+   that the block touched, two bytes for each gap, in slices. Each slice of the
    cells is merged over all blocks, and each block is told which of its cells
    count more than its own one window. A cell never counts less than its
    windows, so a window whose two cells are not both repeated occurs once.
@@ -44,17 +44,17 @@ _U = np.uint64
 
 
 def _gaps(cells: np.ndarray) -> bytes:
-    """Ascending cells as one byte for each gap, 255 meaning 'go on'."""
+    """Ascending cells as two bytes for each gap, 65535 meaning 'go on'."""
     gaps = np.diff(cells.astype(np.int64), prepend=0)
-    more = gaps // 255
-    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = gaps % 255
+    more = gaps // 65535
+    out = np.full(len(gaps) + int(more.sum()), 65535, np.uint16)
+    out[np.cumsum(more + 1) - 1] = gaps % 65535
     return out.tobytes()
 
 
 def _cells(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+    steps = np.frombuffer(data, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
 def _windows(texts: pa.Table, window: int) -> Iterator[tuple]:
