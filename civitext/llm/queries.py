@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civitext.llm.ann_search import op4_nearest_neighbours
+from civitext.llm.embedding_dedup import op2_embedding_dedup
 from civitext.llm.html_blocks import op7_html_extraction
 from civitext.llm.mixing import OP8_SQL, op8_mixing
 from civitext.llm.quality_cnn import op5_quality_classifier
 from civitext.llm.secret_scan import op6_secret_scan
 from civitext.llm.substring_dedup import op1_substring_dedup
+from civitext.llm.token_files import op3_token_files
 
 QUERIES = [
     op1_substring_dedup,
+    op2_embedding_dedup,
+    op3_token_files,
+    op4_nearest_neighbours,
     op5_quality_classifier,
     op6_secret_scan,
     op7_html_extraction,
