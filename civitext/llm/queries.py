@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from civitext.llm.ann_search import op4_nearest_neighbours
+from civitext.llm.byte_bpe import op9_byte_bpe
 from civitext.llm.embedding_dedup import op2_embedding_dedup
 from civitext.llm.html_blocks import op7_html_extraction
+from civitext.llm.hyperminhash import op10_minhash_near_dedup
 from civitext.llm.mixing import OP8_SQL, op8_mixing
 from civitext.llm.quality_cnn import op5_quality_classifier
 from civitext.llm.secret_scan import op6_secret_scan
@@ -24,6 +26,8 @@ QUERIES = [
     op6_secret_scan,
     op7_html_extraction,
     op8_mixing,
+    op9_byte_bpe,
+    op10_minhash_near_dedup,
 ]
 
 
