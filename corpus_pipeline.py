@@ -1,12 +1,67 @@
-"""The corpus pipeline; its stages follow with the operators that they call."""
+"""The corpus pipeline: quality, near-duplicates, secrets, mixing, tokens.
+
+Each stage takes what the one before it kept, written as Parquet and read
+again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from civitext.llm import byte_bpe, hyperminhash, mixing, quality_cnn, secret_scan
+from civitext.session import materialise
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``: the id, or a negative number made from the text where it is null."""
+    by_text = -1 - F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1)
+    return docs.withColumn("key", F.coalesce("doc_id", by_text))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the network, learned on labelled ones, predicts as 0; empty texts are scored too."""
+    net = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_cnn.score_quality(docs, net, keep_text=True)
+    return scored.filter("predicted = 1").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group; texts without an id are one document for each text."""
+    keyed = _with_key(docs)
+    found = hyperminhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    kept = found.filter("kept").select(F.col("doc_id").alias("key"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret; no document goes."""
+    return secret_scan.mask_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives each document the words that the mix takes from it; those without any go."""
+    keyed = _with_key(docs)
+    sizes = materialise(mixing.sizes_of(keyed.drop("doc_id").withColumnRenamed("key", "doc_id")), "mix-sizes")
+    named = keyed.withColumnRenamed("doc_id", "its_doc_id").withColumnRenamed("key", "doc_id")
+    mixed = mixing.mixed_texts(named, sizes)
+    return mixed.drop("doc_id").withColumnRenamed("its_doc_id", "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_tokens, ids``: the token ids as little-endian 32-bit integers."""
+    coded = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"))
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("tokens", tokens)]
 
-STAGES: list = []
+#: The quality network and the tokenizer have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
