@@ -7,14 +7,14 @@ from the next bucket), so a pair at the threshold shares a band with all but
 about ``(1 - t^ROWS)^BANDS`` = 2e-7 probability.
 
 1. Equal sets are one class, known by a 128-bit fingerprint.
-2. In each bucket of a band the classes meet the bucket's smallest one; each
-   class keeps the ``PIVOTS`` that it met most often. Pairs whose estimate,
+2. In each bucket of a band the classes meet its pivot, the one that shares the
+   most bands with others; each class keeps the ``PIVOTS`` met most often. Pairs whose estimate,
    corrected for registers that agree by chance, lies ``SURE`` standard
    deviations under the threshold are dropped; the rest is verified on full sets.
-3. Within buckets that still hold several components, every pair of classes of
-   different components passes the same estimate, in blocks, and is verified.
-   Pairs inside one component cannot change it, so no link between components
-   is lost and large groups of copies never make all their pairs.
+3. Within buckets that still hold several components, classes of different
+   components are compared in blocks, by the same estimate and then on full
+   sets; a task sends links only. Pairs inside one component cannot change it,
+   so no link between components is lost and no rows are made for all pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ BANDS, ROWS, MANTISSA = 48, 8, 8
 REGISTERS = BANDS * ROWS
 PIVOTS, SURE = 3, 4.5
 #: Classes in a block of a bucket, and copies that one task verifies with a pivot.
-BLOCK, CHUNK = 512, 256
+BLOCK, CHUNK = 256, 256
 _EMPTY = np.uint16(0xFFFF)
 _U = np.uint64
 
@@ -156,20 +156,37 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
 
+def _links(own: np.ndarray, other: np.ndarray) -> bool:
+    both = len(np.intersect1d(own, other, assume_unique=True))
+    return 100 * both >= PERCENT * (len(own) + len(other) - both)
+
+
 def _across(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs of the two blocks that are not in one component and may reach the threshold."""
-    ids, block, label, n = (rows.column(c).to_numpy() for c in ("id", "block", "label", "n"))
-    table, low, high = _table(rows.column("registers")), key[1].as_py(), key[2].as_py()
-    first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    out = [np.zeros((0, 2), np.int64)]
-    for i in first:
-        others = second[(label[second] != label[i]) & ((second > i) if low == high else True)]
-        if len(others):
-            own = np.broadcast_to(table[i], (len(others), REGISTERS))
-            near = others[passes(own, table[others], np.full(len(others), n[i]), n[others])]
-            out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])], 1))
-    pairs = np.concatenate(out)
-    return pa.table([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
+    """Links between the two blocks of a bucket, on full sets, that join two components.
+
+    A pair belongs to the first band that both share. Pairs that links found
+    here have already joined are not looked at again.
+    """
+    band, _, low, high = (k.as_py() for k in key)
+    runs, first = shingles(ta.unpack(rows.column("packed").combine_chunks(), rows.column("size")))
+    ids = rows.column("id").to_numpy()
+    is_own = _fingerprint(runs, first)[0] == ids  # not another text with the same document id
+    block, n = rows.column("block").to_numpy(), rows.column("n").to_numpy()
+    table, keys = _table(rows.column("registers")), np.array(rows.column("keys").to_pylist(), np.int64)[:, :band]
+    group = np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
+    out = []
+    side = [np.flatnonzero((block == b) & is_own) for b in (low, high)]
+    for i in side[0]:
+        others = side[1][(group[side[1]] != group[i]) & ((side[1] > i) if low == high else True)]
+        others = others[~(keys[others] == keys[i]).any(1)]
+        if not len(others):
+            continue
+        near = others[passes(np.broadcast_to(table[i], (len(others), REGISTERS)), table[others], np.full(len(others), n[i]), n[others])]
+        for j in near:
+            if group[i] != group[j] and _links(runs[first[i] : first[i + 1]], runs[first[j] : first[j + 1]]):
+                out.append((int(ids[i]), int(ids[j])))
+                group[group == group[j]] = group[i]
+    return pa.table({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +202,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if x == p:
                 pivot, own = (p, c), mine.copy()
-            elif pivot == (p, c):
-                both = len(np.intersect1d(own, mine, assume_unique=True))
-                if 100 * both >= PERCENT * (len(own) + len(mine) - both):
-                    links.append((p, x))
+            elif pivot == (p, c) and _links(own, mine):
+                links.append((p, x))
         if links:
             yield pa.RecordBatch.from_pydict({"a": [int(a) for a, _ in links], "b": [int(b) for _, b in links]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -198,15 +213,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *ta.pack(batch.column("text"))], names=["id", "packed", "size"])
 
 
+def _packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    return texts.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(_pack, "id long, packed binary, size long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are links; many partners of one class are dealt to several tasks."""
     chunks = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(chunks, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), F.col("b").alias("id"))
     dealt = materialise(dealt, "pairs")
     all_rows = dealt.union(dealt.select("pivot", "chunk", F.col("pivot").alias("id")).distinct())
-    packed = texts.join(all_rows.select("id").distinct(), "id", "left_semi").mapInArrow(_pack, "id long, packed binary, size long")
-    together = all_rows.join(packed, "id").withColumn("later", F.col("id") != F.col("pivot")).repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "later")
-    return together.mapInArrow(_confirm, "a long, b long")
+    together = all_rows.join(_packed(texts, all_rows), "id").withColumn("later", F.col("id") != F.col("pivot"))
+    return together.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "later").mapInArrow(_confirm, "a long, b long")
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -234,10 +252,13 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     made = made.withColumn("id", F.col("one"))
     # documents with one id may hold several texts; each class keeps the one that it is read from
     table = materialise(made.join(wide.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "n", "keys", "registers"), "registers")
-    banded = table.select("id", F.posexplode("keys").alias("band", "code")).select(F.xxhash64("band", "code").alias("bucket"), "id").distinct()
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    banded = table.select("id", F.posexplode("keys").alias("band", "code")).select("band", F.xxhash64("band", "code").alias("bucket"), "id")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = materialise(banded.join(buckets, "bucket"), "buckets")
-    met = members.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("times"))
+    # the text that copies were made from shares bands with more of them than they do with one another
+    degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
+    pivots = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id"))["id"].alias("pivot"))
+    met = members.join(pivots, "bucket").filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("times"))
     best = Window.partitionBy("id").orderBy(F.desc("times"), "pivot")
     star = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     one = table.select(F.col("id").alias("a"), F.col("registers").alias("x"), F.col("n").alias("m"))
@@ -246,16 +267,15 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = docs.join(wide.select("id", "doc_id"), "doc_id").select("id", "text")
     links = materialise(_verified(tried, texts), "verified")
     label = materialise(_labels(table, links), "labels")
-    labelled = members.select("bucket", "id", "members").join(label, "id")
+    labelled = members.select("band", "bucket", "id", "members").join(label, "id")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).filter("low_label <> high_label").select("bucket")
     blocks = F.ceil(F.col("members") / block)
     rows = labelled.join(mixed, "bucket").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks)})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "id", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(table.select("id", "n", "registers"), "id")
-    across = rows.groupBy("bucket", "low", "high").applyInArrow(_across, "a long, b long").distinct()
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(_verified(materialise(across.join(seen, ["a", "b"], "left_anti"), "across"), texts), "verified")
+    rows = rows.select("band", "bucket", "id", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = materialise(rows, "mixed-buckets")
+    full = rows.join(table, "id").join(_packed(texts, rows), "id")
+    more = materialise(full.groupBy("band", "bucket", "low", "high").applyInArrow(_across, "a long, b long"), "verified")
     # classes by their smallest document, and all documents of a class by that one
     ids = classes.select("id", "doc_id")
     named = links.union(more).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
