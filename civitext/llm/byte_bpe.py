@@ -42,7 +42,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 DICTIONARY, WORD_BYTES = 1 << 21, 64
 LONG = 256
 SLICE = 4 << 20
-_BUCKETS, _FACTOR, _NONE, _OFFSET, _EDGE = 1 << 16, 40503, 1 << 40, 1 << 41, (1 << 16) - 1
+_BUCKETS, _FACTOR, _NONE, _EDGE = 1 << 15, 40503, 1 << 17, (1 << 16) - 1
 
 
 @cache
@@ -65,10 +65,10 @@ def pairs(path: str) -> dict[tuple[int, int], int]:
 
 
 def _rank_map(path: str) -> Column:
-    """Buckets of the pairs' ranks as one literal: ``none, key, rank, key, rank, ...`` each."""
+    """Buckets of the pairs' ranks as one literal: ``none, key, rank, key, rank, ...`` each; keys are negative."""
     buckets = [[_NONE] for _ in range(_BUCKETS)]
     for (a, b), rank in pairs(path).items():
-        buckets[(a * _FACTOR + b) % _BUCKETS] += [_OFFSET + (a << 16) + b, rank]
+        buckets[(a * _FACTOR + b) % _BUCKETS] += [-1 - (a << 16) - b, rank]
     return F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
 
 
@@ -78,15 +78,18 @@ def _let(value: Column, use) -> Column:
 
 
 def fold_word(word: Column, path: str) -> Column:
-    """The ids of a word as ``array<bigint>``."""
-    table = _rank_map(path)
+    """The ids of a word as ``array<bigint>``; the rank map is in the plan once."""
+    return _let(_rank_map(path), lambda table: _fold(word, table, path))
+
+
+def _fold(word: Column, table: Column, path: str) -> Column:
     single = F.array(*(F.lit(ranks(path)[bytes([b])]).cast("bigint") for b in range(256)))
     edge, rest = F.lit(_EDGE).cast("bigint"), F.lit(1 << 30)
 
     def rank(a: Column, b: Column) -> Column:
         # an absent key has position 0, which leads to the bucket's first entry
         bucket = F.element_at(table, ((a * _FACTOR + b) % _BUCKETS + 1).cast("int"))
-        return _let(bucket, lambda x: F.element_at(x, (F.array_position(x, a * (1 << 16) + b + _OFFSET) + 1).cast("int")))
+        return _let(bucket, lambda x: F.element_at(x, (F.array_position(x, -1 - a * (1 << 16) - b) + 1).cast("int")))
 
     raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character for each byte
     n = F.octet_length(word)
@@ -287,7 +290,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DIC
     known = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select("text"), path, dictionary))
     columns = [c for c in docs.columns if c != "text"]
     cut = docs.mapInArrow(_cut(path, known, columns), _CUT)
-    coded = cut.withColumn("coded", F.transform("fold", lambda w: fold_word(w, path))).drop("fold")
+    fold = _let(_rank_map(path), lambda table: F.transform("fold", lambda w: _fold(w, table, path)))
+    coded = cut.withColumn("coded", fold).drop("fold")
     schema = docs.drop("text").withColumns({"ids": F.lit(b""), "decoded": F.lit(b"")}).schema
     return coded.mapInArrow(_assemble(path, known), schema)
 
