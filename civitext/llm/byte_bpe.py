@@ -139,19 +139,21 @@ def merge_long(word: bytes, path: str) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs ``values[starts : starts + n]`` end to end."""
+    stops = np.cumsum(n)
+    return values[np.repeat(starts - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
+
+
 class _Dictionary:
     """Ids of words by a hash of their bytes; flat arrays."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        data, bounds = ta.utf8(words)
-        hashes = ta.hash_words(data, bounds[:-1], bounds[1:])
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.n = np.diff(ids.offsets.to_numpy())[order].astype(np.uint8)
-        flat = ids.flatten().to_numpy().astype(np.uint16)
-        self.at = (np.cumsum(self.n, dtype=np.int64) - self.n).astype(np.int64)
-        starts = ids.offsets.to_numpy()[:-1][order].astype(np.int64)
-        self.ids = flat[np.repeat(starts - self.at, self.n) + np.arange(len(flat))]
+        starts = np.cumsum(n, dtype=np.int64) - n
+        self.hashes, self.n = hashes[order], n[order]
+        self.at = np.cumsum(self.n, dtype=np.int64) - self.n
+        self.ids = _gather(ids, starts[order], self.n.astype(np.int64))
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is known, and its place."""
@@ -204,12 +206,6 @@ def _cut(path: str, dictionary, columns: list[str]):
 _CUT = "words binary, n binary, place binary, folds binary, long binary, long_ids binary, long_n binary, kept binary, fold array<string>"
 
 
-def _gather(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The runs ``values[starts : starts + n]`` end to end."""
-    stops = np.cumsum(n)
-    return values[np.repeat(starts - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
-
-
 def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
@@ -255,6 +251,15 @@ def _assemble(path: str, dictionary):
     return run
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as hashes, and their ids, in flat arrays: one row for each batch."""
+    for batch in batches:
+        data, bounds = ta.utf8(batch.column("word"))
+        ids = batch.column("ids")
+        row = ta.hash_words(data, bounds[:-1], bounds[1:]), np.diff(ids.offsets.to_numpy()).astype(np.uint8), ids.flatten().to_numpy().astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["hashes", "n", "ids"])
+
+
 def _frequent(docs: DataFrame, path: str, most: int) -> _Dictionary:
     """The ids of the words counted most, folded once each."""
     pattern = F.lit("(?U)" + public_tokenizers.PATTERN)
@@ -272,10 +277,9 @@ def _frequent(docs: DataFrame, path: str, most: int) -> _Dictionary:
     # a word is about a hundred microseconds of work: many small tasks
     tasks = max(1, min(4096, total // 20000 + 1))
     coded = picked.repartition(tasks).select("word", F.transform(fold_word(F.col("word"), path), lambda i: i.cast("int")).alias("ids"))
-    table = materialise(coded, "bpe-dictionary").toArrow().combine_chunks()
-    if not table.num_rows:
-        return _Dictionary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
-    return _Dictionary(table.column("word").chunk(0), table.column("ids").chunk(0))
+    rows = materialise(coded.mapInArrow(_hashed, "hashes binary, n binary, ids binary"), "bpe-dictionary").collect()
+    arrays = [np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.uint8, np.uint16))]
+    return _Dictionary(*arrays)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
