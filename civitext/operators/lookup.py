@@ -68,6 +68,7 @@ def sum_by_key(
     sums: Mapping[str, str],
     key: str = "doc_id",
     carry: Sequence[str] = (),
+    own: Mapping[str, str] | None = None,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
@@ -78,10 +79,11 @@ def sum_by_key(
     make it read the rows twice: the first grouping adds up what the head
     settles and keeps the few other tokens of a key as a list, and only those
     lists are taken apart for the join with the tail. An expression must be 0
-    where the table's columns are NULL.
+    where the table's columns are NULL. ``own`` names further sums, of
+    expressions over the columns of ``rows`` alone.
     """
-    keys = [key, *carry]
-    totals = [F.expr(f"sum({e})").alias(name) for name, e in sums.items()]
+    keys, own = [key, *carry], own or {}
+    totals = [F.expr(f"sum({e})").alias(name) for name, e in {**sums, **own}.items()]
     if tokens.fits(max_rows, max_bytes):
         return rows.join(F.broadcast(tokens.table), "token", "left").groupBy(*keys).agg(*totals)
 
@@ -93,14 +95,15 @@ def sum_by_key(
     # Place 0 carries the sums so far. Its token is NULL and joins nothing; its
     # salt is the whole hash, so these rows spread over all tasks.
     listed = F.concat(F.array(F.lit(None).cast("string")), F.col("open"))
-    unfolded = first.select(*keys, *sums, F.posexplode(listed).alias("place", "token"))
+    unfolded = first.select(*keys, *sums, *own, F.posexplode(listed).alias("place", "token"))
     is_sum = F.col("place") == 0
     salt = F.when(is_sum, F.xxhash64(key)).otherwise(_salt(key, salts))
-    kept = [F.when(is_sum, F.col(name)).otherwise(F.lit(0)).alias(f"kept_{name}") for name in sums]
+    kept = [F.when(is_sum, F.col(name)).otherwise(F.lit(0)).alias(f"kept_{name}") for name in [*sums, *own]]
     resolved = unfolded.select(*keys, "token", salt.alias("salt"), *kept).join(
         _salted(tail, salts), ["token", "salt"], "left"
     )
     both = [F.expr(f"sum(kept_{name} + {e})").alias(name) for name, e in sums.items()]
+    both += [F.sum(f"kept_{name}").alias(name) for name in own]
     return resolved.groupBy(*keys).agg(*both)
 
 

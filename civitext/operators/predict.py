@@ -42,12 +42,18 @@ def class_scores(
     The text is tokenised once for all models. All tokens of a row come out of
     one task, so the sums are nearly complete before the only shuffle, by key.
     Unknown tokens add nothing; a row without tokens keeps the prior. ``carry``
-    names small columns to keep.
+    names small columns to keep. A row is known by a hash of its key and text, so
+    keys may repeat or be NULL: as many rows come out as went in.
     """
     text = tx.normalise(F.col(text_col)) if normalise else F.col(text_col)
-    rows = df.select(key, *carry, F.explode_outer(tok.words(text)).alias("token"))
+    row = F.xxhash64(key, F.coalesce(F.col(text_col), F.lit(""))).alias("_row")
+    rows = df.select(row, key, *carry, F.posexplode_outer(tok.words(text)).alias("_place", "token"))
     sums = {f"s{i}_{c}": f"coalesce(w{i}[{c}], 0L)" for i, m in enumerate(models) for c in m.task.ids}
-    summed = sum_by_key(rows, _joint_weights(models), sums, key, carry, **limits)
+    # equal rows add up to one; their first tokens, or their having none, count them
+    copies = {"_copies": "CAST(coalesce(_place, 0) = 0 AS BIGINT)"}
+    summed = sum_by_key(rows, _joint_weights(models), sums, "_row", [key, *carry], copies, **limits)
+    single = summed.withColumns({name: F.expr(f"{name} div _copies") for name in sums})
+    summed = single.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
 
     def array(i: int, m: NaiveBayes) -> Column:
         priors = m.priors()

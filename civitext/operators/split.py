@@ -211,3 +211,15 @@ def overlapping_keys(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Number of keys, and of keys that occur in more than one split."""
     per_key = df.groupBy(key).agg((F.min("split") != F.max("split")).alias("overlaps"))
     return per_key.agg(F.count("*").alias("n_keys"), F.count_if("overlaps").alias("n_overlapping"))
+
+
+def shared_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Number of different texts, of those that several splits hold, and of the rows of the latter."""
+    per_text = df.groupBy(F.md5(F.col(text_col).cast("binary")).alias("text")).agg(
+        (F.min("split") != F.max("split")).alias("shared"), F.count("*").alias("n")
+    )
+    return per_text.agg(
+        F.count("*").alias("n_texts"),
+        F.count_if("shared").alias("n_shared"),
+        F.coalesce(F.sum(F.when(F.col("shared"), F.col("n"))), F.lit(0)).alias("n_rows_shared"),
+    )

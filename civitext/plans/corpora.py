@@ -117,3 +117,10 @@ def synthetic_predictions(spark: SparkSession, sf_dir: str, mark: str, classes:
     return df.select(
         "doc_id", F.col("label_id").alias("y_true"), F.when(wrong, other).otherwise(F.col("label_id")).alias("y_pred")
     )
+
+
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a seventh of them twice, and a NULL key for an eleventh."""
+    by = lambda n: F.pmod(F.col("doc_id"), F.lit(n)) == 0
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.union(rows.filter(by(7))).withColumn("doc_id", F.when(~by(11), F.col("doc_id")))

@@ -424,6 +424,11 @@ JOIN pool_val v USING (label_id)"""
 SELECT count(*) AS n_keys, count(*) FILTER (k > 1) AS n_overlapping
 FROM (SELECT doc_id, count(DISTINCT split) AS k FROM harm_split GROUP BY doc_id)"""
 
+    sql["split_leakage"] = f"""WITH {_split('harm')}
+SELECT count(*) AS n_texts, count(*) FILTER (k > 1) AS n_shared,
+       CAST(coalesce(sum(n) FILTER (k > 1), 0) AS BIGINT) AS n_rows_shared
+FROM (SELECT text, count(DISTINCT split) AS k, count(*) AS n FROM harm_split GROUP BY text)"""
+
     # Tokens
     numbered = "SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos"
     sql["tokenise"] = f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, token
@@ -493,6 +498,11 @@ SELECT s.doc_id, CASE WHEN {blank} THEN 'empty_input' ELSE 'ok' END AS status,
        CASE WHEN NOT ({blank}) THEN {_name('harm', 'pred')} END AS label,
        CASE WHEN NOT ({blank}) THEN round(greatest(p0, p1, p2), 4) END AS confidence
 FROM sparse s JOIN harm_scored USING (doc_id)"""
+    sql["predict_repeated_keys"] = f"""WITH {_model('harm')}, {_scored('harm', 'documents', _normal())},
+repeated AS (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 7 = 0)
+SELECT CASE WHEN doc_id % 11 <> 0 THEN doc_id END AS doc_id, 'ok' AS status,
+       {_name('harm', 'pred')} AS label, round(greatest(p0, p1, p2), 4) AS confidence
+FROM repeated JOIN harm_scored USING (doc_id)"""
     sql["predict_combined"] = f"""WITH {_model('harm')}, {_model('veracity')},
 {_scored('harm', 'documents', _normal())}, {_scored('veracity', 'documents', _normal())}
 SELECT h.doc_id, 'ok' AS status,

@@ -236,6 +236,11 @@ def split_disjoint(spark, sf_dir):
     return sp.overlapping_keys(_prepared(spark, sf_dir, HARM))
 
 
+@query
+def split_leakage(spark, sf_dir):
+    return sp.shared_texts(_prepared(spark, sf_dir, HARM))
+
+
 # Tokens
 
 
@@ -395,6 +400,12 @@ def predict_status(spark, sf_dir):
     return predicted.select("doc_id", "status", "label", "confidence")
 
 
+@query
+def predict_repeated_keys(spark, sf_dir):
+    predicted = pr.predict(corpora.repeated_keys(spark, sf_dir), _model(spark, sf_dir, HARM))
+    return predicted.select("doc_id", "status", "label", "confidence")
+
+
 @query
 def predict_combined(spark, sf_dir):
     models = [_model(spark, sf_dir, HARM), _model(spark, sf_dir, VERACITY)]

@@ -124,6 +124,18 @@ def test_same_bits_under_any_partitioning(spark, harm):
             spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
+@pytest.mark.parametrize("limits", [{}, TIGHT])
+def test_repeated_and_null_keys_keep_every_row(spark, harm, limits):
+    rows, model, _ = harm
+    texts = [t for _, t, _ in rows] + [t for _, t in NEW]
+    keys = [1, 1, None, None, *range(10, 6 + len(texts))]
+    table = list(zip(keys, texts)) + [(1, texts[0])] * 2 + [(None, None)] * 3 + [(1, "")] * 2
+    single = {r.text: r for r in pr.predict(spark.createDataFrame(list(enumerate({t for _, t in table})), "doc_id long, text string"), model, carry=["text"]).collect()}
+    out = pr.predict(spark.createDataFrame(table, "doc_id long, text string"), model, carry=["text"], **limits).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(table)
+    assert all((r.label, r.confidence, r.scores) == (single[r.text].label, single[r.text].confidence, single[r.text].scores) for r in out)
+
+
 @pytest.mark.parametrize("limits", [{}, TIGHT])
 def test_combined_equals_single(spark, harm, veracity, limits):
     df = new_texts(spark, harm[0])

@@ -107,3 +107,10 @@ def test_unknown_mode(spark):
     df = spark.createDataFrame([(1, "abcd", "hate")], "doc_id long, text string, label string")
     with pytest.raises(ValueError):
         prepare.preprocess(df, HARM, mode="random")
+
+
+def test_shared_texts(spark):
+    rows = [(1, "a", "train"), (2, "a", "test"), (3, "b", "train"), (4, "b", "train"), (5, "c", "val"), (6, "a", "train")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, split string")
+    assert tuple(sp.shared_texts(df).first()) == (3, 1, 3)
+    assert tuple(sp.shared_texts(df.limit(0)).first()) == (0, 0, 0)
