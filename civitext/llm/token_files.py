@@ -35,16 +35,24 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 #: Token ids in a block.
 BLOCK = 1 << 16
 LAST = (1 << 63) - 1
+#: Bytes of text whose distinct words are encoded at once.
+SLICE = 8 << 20
+#: Widths for which packing is a plain little-endian array.
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 _TRAILER = struct.Struct("<QQQQII8s")  # footer at, documents, ids, blocks, bits, ids in a block
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids below ``2**bits``, least significant bit first, without gaps."""
+    if bits in _WHOLE:
+        return ids.astype(_WHOLE[bits]).tobytes()
     spread = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(spread.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in _WHOLE:
+        return np.frombuffer(data, _WHOLE[bits], n).astype(np.uint32)
     spread = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     wide = np.zeros((n, 32), np.uint8)
     wide[:, :bits] = spread
@@ -157,7 +165,7 @@ def _write(folder: str, vocabulary: str, end: int | None, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        for batch in ta.slices(batches, "text"):
+        for batch in ta.slices(batches, "text", SLICE):
             if writer is None:
                 fs, path = _open(folder)
                 fs.create_dir(path, recursive=True)
