@@ -15,6 +15,7 @@ from civitext.functions import scores as sc
 from civitext.functions import tokens as tok
 from civitext.operators.lookup import join_tokens
 from civitext.operators.naive_bayes import SCALE, NaiveBayes
+from civitext.operators.predict import class_scores, decide
 from civitext.operators.prepare import normalise_texts
 
 
@@ -99,10 +100,19 @@ def top_tokens(attributed: DataFrame, k: int = 10, key: str = "doc_id") -> DataF
     return ranked.select(key, "label", "confidence", "side", "rank", "token", "phi")
 
 
-def explanation_records(attributed: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+def explanation_records(
+    df: DataFrame,
+    model: NaiveBayes,
+    k: int = 10,
+    key: str = "doc_id",
+    text_col: str = "text",
+    **limits: int,
+) -> DataFrame:
     """One record per text: prediction, ``top_tokens`` and ``bottom_tokens`` arrays.
 
-    A text has at most ``2k`` rows left when the arrays are built.
+    A text without a known token, also a blank one, has the prediction of the
+    prior and empty arrays. A text has at most ``2k`` rows left when the arrays
+    are built.
     """
 
     def tokens(side: str) -> Column:
@@ -110,10 +120,12 @@ def explanation_records(attributed: DataFrame, k: int = 10, key: str = "doc_id")
         listed = F.array_sort(F.collect_list(F.when(F.col("side") == side, entry)))
         return F.transform(listed, lambda e: F.struct(e["token"].alias("token"), e["score"].alias("score")))
 
-    chosen = top_tokens(attributed, k, key)
-    return chosen.groupBy(key, "label", "confidence").agg(
-        tokens("top").alias("top_tokens"), tokens("bottom").alias("bottom_tokens")
-    )
+    chosen = top_tokens(attributions(df, model, key, text_col, **limits), k, key)
+    listed = chosen.groupBy(key).agg(tokens("top").alias("top_tokens"), tokens("bottom").alias("bottom_tokens"))
+    scored = class_scores(df, [model], key, text_col, **limits).withColumnRenamed("scores0", "scores")
+    predicted = decide(scored, model.task.labels).select(key, "label", "confidence")
+    sides = {side: F.coalesce(side, F.array().cast(listed.schema[side].dataType)) for side in ("top_tokens", "bottom_tokens")}
+    return predicted.join(listed, key, "left").withColumns(sides)
 
 
 def token_importance(attributed: DataFrame, key: str = "doc_id") -> DataFrame:

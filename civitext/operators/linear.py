@@ -1,4 +1,4 @@
-"""A logistic regression on hashed word n-grams, as a Spark ML pipeline."""
+"""A logistic regression on hashed words, as a Spark ML pipeline."""
 
 from __future__ import annotations
 

@@ -90,12 +90,12 @@ def evaluate_candidates(
         "place + 1 AS candidate",
         f"array({alphas})[place] AS alpha",
         f"array({min_counts})[place] AS min_count",
-        "round(f1, 6) AS f1",
+        "f1",
     )
 
 
 def mark_best(scored: DataFrame) -> DataFrame:
-    """Flag the candidate with the highest metric; the first one wins a tie."""
+    """Flag the candidate with the highest metric, unrounded; the first one wins a tie."""
     # One row per candidate enters the window.
     place = F.row_number().over(Window.orderBy(F.desc("f1"), "candidate"))
     return scored.withColumn("is_best", place == 1)

@@ -215,7 +215,7 @@ def _candidates(task: str, grid: list[tuple[float, int]]) -> str:
   LEFT JOIN {task}_cand w ON w.token = t.token AND w.candidate = g.candidate
   GROUP BY g.candidate, d.doc_id, d.label_id),
 {task}_f1 AS (
-  SELECT candidate, round({metric}, 6) AS f1
+  SELECT candidate, {metric} AS f1
   FROM (SELECT *, {_argmax([f's{c}' for c in k])} AS pred FROM {task}_val_sums) GROUP BY candidate)"""
 
 
@@ -280,10 +280,11 @@ judged AS (SELECT h.label_id AS y_true, s.pred AS y_pred FROM held h JOIN {task}
 {_report(_TASK_NAME[task], 'judged')}"""
 
 
-_ATTRIBUTED = f"""WITH {_model('harm')}, {_scored('harm', 'documents', _normal())},
+def _attributed(source: str = "documents", before: str = "") -> str:
+    return f"""WITH {_model('harm')}, {before}{_scored('harm', source, _normal())},
 terms AS (
   SELECT doc_id, token, count(*) AS n
-  FROM (SELECT doc_id, unnest({_words(_normal())}) AS token FROM documents) GROUP BY doc_id, token),
+  FROM (SELECT doc_id, unnest({_words(_normal())}) AS token FROM {source}) GROUP BY doc_id, token),
 logs AS (
   SELECT token, total / (SELECT total FROM harm_rows) AS mean_n,
          {', '.join(f'{_log_weight("harm", c)} AS l{c}' for c in range(3))}
@@ -296,6 +297,9 @@ attributed AS (
         FROM terms JOIN logs USING (token) JOIN harm_scored USING (doc_id)))"""
 
 
+_ATTRIBUTED = _attributed()
+
+
 def _datasets() -> str:
     return f"""WITH {_HARM}, {_ROLES}, stacked AS (
   SELECT 'labelled_documents' AS dataset, text, label, split FROM harm
@@ -544,6 +548,16 @@ SELECT doc_id, token, n, label, round(phi, 4) AS phi, round(margin, 4) AS margin
 SELECT doc_id, label, confidence, side, CAST(place AS INTEGER) AS rank, token, round(phi, 4) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY round(abs(phi), 8) DESC, token) AS place FROM sided)
 WHERE place <= 10"""
+    sql["explanation_records"] = f"""{_attributed('sparse', _SPARSE + ', ')}, sided AS (
+  SELECT *, CASE WHEN phi > 0 THEN 'top' ELSE 'bottom' END AS side FROM attributed WHERE round(phi, 8) <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY round(abs(phi), 8) DESC, token) AS place FROM sided),
+listed AS (
+  SELECT doc_id, string_agg(token, ' ' ORDER BY place) FILTER (side = 'top') AS top_tokens,
+         string_agg(token, ' ' ORDER BY place) FILTER (side = 'bottom') AS bottom_tokens
+  FROM placed WHERE place <= 10 GROUP BY doc_id)
+SELECT s.doc_id, {_name('harm', 's.pred')} AS label, round(greatest(s.p0, s.p1, s.p2), 4) AS confidence,
+       coalesce(l.top_tokens, '') AS top_tokens, coalesce(l.bottom_tokens, '') AS bottom_tokens
+FROM harm_scored s LEFT JOIN listed l ON s.doc_id = l.doc_id"""
     sql["token_importance"] = f"""{_ATTRIBUTED}
 SELECT doc_id, label, token,
        round(abs(weight) / coalesce(nullif(max(abs(weight)) OVER (PARTITION BY doc_id), 0), 1), 4) AS score

@@ -547,6 +547,13 @@ def top_tokens(spark, sf_dir):
     return rows.select("doc_id", "label", "confidence", "side", "rank", "token", F.round("phi", 4).alias("score"))
 
 
+@query
+def explanation_records(spark, sf_dir):
+    records = ex.explanation_records(corpora.sparse(spark, sf_dir), _model(spark, sf_dir, HARM), 10)
+    sides = [F.array_join(F.col(f"{side}.token"), " ").alias(side) for side in ("top_tokens", "bottom_tokens")]
+    return records.select("doc_id", "label", "confidence", *sides)
+
+
 @query
 def token_importance(spark, sf_dir):
     rows = ex.token_importance(_attributed(spark, sf_dir))

@@ -50,7 +50,8 @@ def test_ranked_views(spark, case):
         phi.setdefault(r.doc_id, {})[r.token] = r.phi
         weight.setdefault(r.doc_id, {})[r.token] = abs(r.weight)
     order = lambda items: [t for t, _ in sorted(items, key=lambda x: (-round(abs(x[1]), 8), x[0]))]
-    records = {r.doc_id: r for r in ex.explanation_records(attributed, 4).collect()}
+    records = {r.doc_id: r for r in ex.explanation_records(frame(spark, rows), model, 4).collect()}
+    assert set(records) == {key for key, _, _ in rows}
     plots = ex.plot_data(attributed, 5).collect()
     scaled = ex.token_importance(attributed).collect()
     margins = {r.doc_id: r.margin for r in ex.with_margin(attributed).collect()}
@@ -66,3 +67,12 @@ def test_ranked_views(spark, case):
             if s.doc_id == key:
                 assert s.score == pytest.approx(weight[key][s.token] / top)
         assert margins[key] == pytest.approx(sum(tokens.values()))
+
+
+def test_every_text_has_a_record(spark, case):
+    _, model, _ = case
+    texts = [(1, "qqxyzzy unseenword"), (2, ""), (3, None), (4, " \t ")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    prior = model.task.labels[max(model.task.ids, key=lambda c: (model.priors()[c], -c))]
+    got = sorted((r.doc_id, r.label, r.top_tokens, r.bottom_tokens) for r in ex.explanation_records(df, model).collect())
+    assert got == [(k, prior, [], []) for k, _ in texts]

@@ -277,3 +277,9 @@ def test_stream_equals_batch(spark, harm):
     assert got.select("batch").distinct().count() == 2
     scored = got.drop("batch").select(pr.predict(df, model).columns)
     assert sorted(map(str, scored.collect())) == sorted(map(str, pr.predict(df, model).collect()))
+
+
+def test_a_difference_below_the_printed_places_decides(spark):
+    rows = [(1, 0.5, 1, 0.8123456), (2, 1.0, 1, 0.8123456 + 4e-7), (3, 2.0, 1, 0.8123456 + 4e-7)]
+    scored = spark.createDataFrame(rows, "candidate int, alpha double, min_count int, f1 double")
+    assert [r.candidate for r in selection.mark_best(scored).collect() if r.is_best] == [2]
