@@ -2,9 +2,11 @@
 
 The shingles of a document fall into ``REGISTERS`` buckets. A register keeps the
 smallest hash of its bucket as its count of leading zeros and the ``MANTISSA``
-bits after them. Band keys are made of ``ROWS`` registers each (empty ones borrow
-from the next bucket), so a pair at the threshold shares a band with all but
-about ``(1 - t^ROWS)^BANDS`` = 2e-7 probability.
+bits after them. Band keys are made of ``ROWS`` registers each. A register that is
+empty takes the smallest of all the set's shingles by a hash of its own, so that
+registers of small sets agree one by one as those of large ones do, and a pair of
+any size at the threshold shares a band with all but about
+``(1 - t^ROWS)^BANDS`` = 2e-7 probability.
 
 1. Equal sets are one class, known by a 128-bit fingerprint.
 2. In each bucket of a band the classes meet its pivot, the one that shares the
@@ -38,6 +40,8 @@ PIVOTS, SURE = 3, 4.5
 BLOCK, CHUNK = 256, 256
 _EMPTY = np.uint16(0xFFFF)
 _U = np.uint64
+#: Products that are made at once for empty registers; bounds memory and fits a cache.
+_PRODUCTS = 1 << 17
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +86,34 @@ def registers(runs: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(table: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys for each row of registers; a band takes registers far apart."""
-    full = np.arange(REGISTERS)
-    place = np.where(table != _EMPTY, full, 2 * REGISTERS)
-    following = np.minimum.accumulate(np.concatenate([place, place + REGISTERS], 1)[:, ::-1], 1)[:, ::-1][:, :REGISTERS]
-    dense = np.take_along_axis(table, following % REGISTERS, 1).astype(_U)
-    key = np.zeros((len(table), BANDS), _U)
-    for row in dense.reshape(len(table), ROWS, BANDS).transpose(1, 0, 2):
+#: Each register's own hash of shingles, for sets that leave it empty: a flip of bits and an odd factor.
+_FLIPS, _FACTORS = ta.mix(np.arange(REGISTERS, dtype=_U), 51), ta.mix(np.arange(REGISTERS, dtype=_U), 52) | _U(1)
+
+
+def filled(table: np.ndarray, runs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The registers with every empty one filled from all shingles of its text; one row for each text.
+
+    Two texts agree in a register with the probability of their similarity,
+    whether it is filled by its bucket or by its own hash, and one shingle more
+    spoils no run of registers.
+    """
+    out, n = table.astype(_U), np.diff(first)
+    empty = table == _EMPTY
+    for i in np.flatnonzero(empty.any(1) & (n > 0)):
+        which = np.flatnonzero(empty[i])
+        x = runs[first[i] : first[i + 1], None]
+        step = max(1, _PRODUCTS // len(x))
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
+            # above all values of buckets
+            out[i, part] = ((x ^ _FLIPS[part]) * _FACTORS[part]).min(0) | _U(1 << 16)
+    return out
+
+
+def band_keys(dense: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys for each row of filled registers; a band takes registers far apart."""
+    key = np.zeros((len(dense), BANDS), _U)
+    for row in dense.reshape(len(dense), ROWS, BANDS).transpose(1, 0, 2):
         key = ta.mix(key ^ row, 31)
     return key
 
@@ -135,7 +159,7 @@ def _registers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in ta.slices(batches, "text"):
         runs, first = shingles(batch.column("text"))
         table = registers(runs, first)
-        keys = band_keys(table).view(np.int64)
+        keys = band_keys(filled(table, runs, first)).view(np.int64)
         lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
         one, two = _fingerprint(runs, first)
         yield pa.RecordBatch.from_arrays(

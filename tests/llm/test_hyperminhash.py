@@ -56,6 +56,33 @@ def test_equals_brute_force(spark, seed, block):
     assert got(spark, rows, block=block) == brute(rows)
 
 
+def test_linked_pairs_of_short_texts_are_found(spark):
+    rows = []
+    for seed in range(60):
+        # 6 of 7, 12 of 14, 17 of 20 and 34 of 40 shingles, by words at the end; 23 shared and 2 on each side, by a word at both ends
+        for n, more in [(10, 1), (16, 2), (21, 3), (38, 6)]:
+            w = [f"s{seed}n{n}w{i}" for i in range(n + more)]
+            rows += [(len(rows), " ".join(w[:n])), (len(rows) + 1, " ".join(w))]
+        w = [f"s{seed}w{i}" for i in range(31)]
+        rows += [(len(rows), " ".join(w[:29])), (len(rows) + 1, " ".join(w[2:]))]
+    result = got(spark, rows)
+    assert result == brute(rows)
+    assert sum(not r[3] for r in result) == len(rows) // 2
+
+
+def test_registers_of_any_size_agree_like_large_sets():
+    rng = np.random.default_rng(7)
+    for common, own, other in [(6, 0, 1), (12, 0, 2), (34, 0, 6), (57, 5, 5), (340, 30, 30)]:
+        drawn = [rng.integers(0, 2**64, common + own + other, dtype=np.uint64) for _ in range(200)]
+        sets = [np.sort(s) for x in drawn for s in (x[: common + own], np.concatenate([x[:common], x[common + own :]]))]
+        runs, first = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+        keys = hm.band_keys(hm.filled(hm.registers(runs, first), runs, first))
+        shared = (keys[::2] == keys[1::2]).sum(1)
+        likely = (common / (common + own + other)) ** hm.ROWS
+        assert shared.min() > 0 and abs(shared.mean() / hm.BANDS - likely) < 0.03
+        assert shared.std() < 1.3 * np.sqrt(hm.BANDS * likely * (1 - likely))
+
+
 def test_nulls_ties_repeats_and_short_texts(spark):
     long = " ".join(f"x{i}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  B"), (6, "b a"), (7, "É é É é É é"), (8, "é é é é é é"), (9, "a b c d e"), (10, "a b c d e")]
