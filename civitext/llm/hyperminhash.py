@@ -2,11 +2,12 @@
 
 The shingles of a document fall into ``REGISTERS`` buckets. A register keeps the
 smallest hash of its bucket as its count of leading zeros and the ``MANTISSA``
-bits after them. Band keys are made of ``ROWS`` registers each. A register that is
+bits after them. Band keys are made of as many registers as the threshold allows
+(:func:`band_rows`), ``ROWS`` each at ``PERCENT``. A register that is
 empty takes the smallest of all the set's shingles by a hash of its own, so that
 registers of small sets agree one by one as those of large ones do, and a pair of
 any size at the threshold shares a band with all but about
-``(1 - t^ROWS)^BANDS`` = 2e-7 probability.
+``(1 - t^ROWS)^BANDS`` = 2e-7 probability (4e-9 at 80%, with 64 bands of 6).
 
 1. Equal sets are one class, known by a 128-bit fingerprint.
 2. In each bucket of a band the classes meet its pivot, the one that shares the
@@ -36,6 +37,8 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, MANTISSA = 48, 8, 8
 REGISTERS = BANDS * ROWS
 PIVOTS, SURE = 3, 4.5
+#: The share of pairs at the threshold that may have no common band.
+MISSED = 3e-7
 #: Classes in a block of a bucket, and copies that one task verifies with a pivot.
 BLOCK, CHUNK = 256, 256
 _EMPTY = np.uint16(0xFFFF)
@@ -110,10 +113,18 @@ def filled(table: np.ndarray, runs: np.ndarray, first: np.ndarray) -> np.ndarray
     return out
 
 
-def band_keys(dense: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys for each row of filled registers; a band takes registers far apart."""
-    key = np.zeros((len(dense), BANDS), _U)
-    for row in dense.reshape(len(dense), ROWS, BANDS).transpose(1, 0, 2):
+def band_rows(percent: int) -> int:
+    """The most registers for each band with which no more than ``MISSED`` of pairs at the threshold share none."""
+    for rows in (12, 8, 6, 4, 3, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MISSED and percent <= 100:
+            return rows
+    raise ValueError(f"no bands for {percent}%")
+
+
+def band_keys(dense: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A key for each ``rows`` of a row of filled registers; a band takes registers far apart."""
+    key = np.zeros((len(dense), REGISTERS // rows), _U)
+    for row in dense.reshape(len(dense), rows, -1).transpose(1, 0, 2):
         key = ta.mix(key ^ row, 31)
     return key
 
@@ -128,15 +139,15 @@ def _chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share[0] * share[1]).sum(1) / (1 << MANTISSA)
 
 
-def passes(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def passes(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether pairs of register rows of sets of sizes ``a`` and ``b`` may reach the threshold."""
-    threshold = PERCENT / 100
+    threshold = percent / 100
     used = ((x != _EMPTY) | (y != _EMPTY)).sum(1)
     agree = ((x == y) & (x != _EMPTY)).sum(1)
     chance = np.minimum(0.5, _chance(a.astype(float), b.astype(float)) * REGISTERS / np.maximum(used, 1))
     estimate = (agree / np.maximum(used, 1) - chance) / (1 - chance)
     slack = SURE * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-    return (np.minimum(a, b) * 100 >= PERCENT * np.maximum(a, b)) & (estimate + slack >= threshold)
+    return (np.minimum(a, b) * 100 >= percent * np.maximum(a, b)) & (estimate + slack >= threshold)
 
 
 def _fingerprint(runs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,82 +165,97 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(one), pa.array(two)], names=["doc_id", "n", "one", "two"])
 
 
-def _registers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _registers(rows: int):
     """Registers and band keys of the class that a text stands for."""
-    for batch in ta.slices(batches, "text"):
-        runs, first = shingles(batch.column("text"))
-        table = registers(runs, first)
-        keys = band_keys(filled(table, runs, first)).view(np.int64)
-        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-        one, two = _fingerprint(runs, first)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(one), pa.array(two), lists, pa.array([r.tobytes() for r in table], pa.binary())],
-            names=["doc_id", "n", "one", "two", "keys", "registers"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ta.slices(batches, "text"):
+            runs, first = shingles(batch.column("text"))
+            table = registers(runs, first)
+            keys = band_keys(filled(table, runs, first), rows).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
+            one, two = _fingerprint(runs, first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(one), pa.array(two), lists, pa.array([r.tobytes() for r in table], pa.binary())],
+                names=["doc_id", "n", "one", "two", "keys", "registers"],
+            )
+
+    return run
 
 
 def _table(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            ok = passes(_table(part.column("x")), _table(part.column("y")), part.column("m").to_numpy(), part.column("n").to_numpy())
-            yield part.select(["a", "b"]).filter(pa.array(ok))
+def _estimate(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ok = passes(_table(part.column("x")), _table(part.column("y")), part.column("m").to_numpy(), part.column("n").to_numpy(), percent)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
 
 
-def _links(own: np.ndarray, other: np.ndarray) -> bool:
+def _links(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(own, other, assume_unique=True))
-    return 100 * both >= PERCENT * (len(own) + len(other) - both)
+    return 100 * both >= percent * (len(own) + len(other) - both)
 
 
-def _across(key: tuple, rows: pa.Table) -> pa.Table:
+def _across(percent: int):
     """Links between the two blocks of a bucket, on full sets, that join two components.
 
     A pair belongs to the first band that both share. Pairs that links found
     here have already joined are not looked at again.
     """
-    band, _, low, high = (k.as_py() for k in key)
-    runs, first = shingles(ta.unpack(rows.column("packed").combine_chunks(), rows.column("size")))
-    ids = rows.column("id").to_numpy()
-    is_own = _fingerprint(runs, first)[0] == ids  # not another text with the same document id
-    block, n = rows.column("block").to_numpy(), rows.column("n").to_numpy()
-    table, keys = _table(rows.column("registers")), np.array(rows.column("keys").to_pylist(), np.int64)[:, :band]
-    group = np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
-    out = []
-    side = [np.flatnonzero((block == b) & is_own) for b in (low, high)]
-    for i in side[0]:
-        others = side[1][(group[side[1]] != group[i]) & ((side[1] > i) if low == high else True)]
-        others = others[~(keys[others] == keys[i]).any(1)]
-        if not len(others):
-            continue
-        near = others[passes(np.broadcast_to(table[i], (len(others), REGISTERS)), table[others], np.full(len(others), n[i]), n[others])]
-        for j in near:
-            if group[i] != group[j] and _links(runs[first[i] : first[i + 1]], runs[first[j] : first[j + 1]]):
-                out.append((int(ids[i]), int(ids[j])))
-                group[group == group[j]] = group[i]
-    return pa.table({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links on full sets. A pivot's text comes before those that are compared with it."""
-    pivot, own = None, None
-    for batch in ta.slices(batches, "size"):
-        runs, first = shingles(ta.unpack(batch.column("packed"), batch.column("size")))
-        keys = [batch.column(c).to_numpy() for c in ("pivot", "chunk", "id")]
-        links = []
-        for i, (p, c, x, is_own) in enumerate(zip(*keys, _fingerprint(runs, first)[0])):
-            mine = runs[first[i] : first[i + 1]]
-            if is_own != x:  # another text with the same document id
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        band, _, low, high = (k.as_py() for k in key)
+        runs, first = shingles(ta.unpack(rows.column("packed").combine_chunks(), rows.column("size")))
+        ids = rows.column("id").to_numpy()
+        is_own = _fingerprint(runs, first)[0] == ids  # not another text with the same document id
+        block, n = rows.column("block").to_numpy(), rows.column("n").to_numpy()
+        table, keys = _table(rows.column("registers")), np.array(rows.column("keys").to_pylist(), np.int64)[:, :band]
+        group = np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
+        out = []
+        side = [np.flatnonzero((block == b) & is_own) for b in (low, high)]
+        for i in side[0]:
+            others = side[1][(group[side[1]] != group[i]) & ((side[1] > i) if low == high else True)]
+            others = others[~(keys[others] == keys[i]).any(1)]
+            if not len(others):
                 continue
-            if x == p:
-                pivot, own = (p, c), mine.copy()
-            elif pivot == (p, c) and _links(own, mine):
-                links.append((p, x))
-        if links:
-            yield pa.RecordBatch.from_pydict({"a": [int(a) for a, _ in links], "b": [int(b) for _, b in links]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            near = others[passes(np.broadcast_to(table[i], (len(others), REGISTERS)), table[others], np.full(len(others), n[i]), n[others], percent)]
+            for j in near:
+                if group[i] != group[j] and _links(runs[first[i] : first[i + 1]], runs[first[j] : first[j + 1]], percent):
+                    out.append((int(ids[i]), int(ids[j])))
+                    group[group == group[j]] = group[i]
+        return pa.table({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
+def _confirm(percent: int):
+    """Links on full sets. A pivot's text comes before those that are compared with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, own = None, None
+        for batch in ta.slices(batches, "size"):
+            runs, first = shingles(ta.unpack(batch.column("packed"), batch.column("size")))
+            keys = [batch.column(c).to_numpy() for c in ("pivot", "chunk", "id")]
+            links = []
+            for i, (p, c, x, is_own) in enumerate(zip(*keys, _fingerprint(runs, first)[0])):
+                mine = runs[first[i] : first[i + 1]]
+                if is_own != x:  # another text with the same document id
+                    continue
+                if x == p:
+                    pivot, own = (p, c), mine.copy()
+                elif pivot == (p, c) and _links(own, mine, percent):
+                    links.append((p, x))
+            if links:
+                yield pa.RecordBatch.from_pydict({"a": [int(a) for a, _ in links], "b": [int(b) for _, b in links]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +267,14 @@ def _packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(_pack, "id long, packed binary, size long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links; many partners of one class are dealt to several tasks."""
     chunks = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(chunks, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), F.col("b").alias("id"))
     dealt = materialise(dealt, "pairs")
     all_rows = dealt.union(dealt.select("pivot", "chunk", F.col("pivot").alias("id")).distinct())
     together = all_rows.join(_packed(texts, all_rows), "id").withColumn("later", F.col("id") != F.col("pivot"))
-    return together.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "later").mapInArrow(_confirm, "a long, b long")
+    return together.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "later").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -256,9 +282,10 @@ def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.select("id").join(found, "id", "left").select("id", F.coalesce("component_id", "id").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``doc_id, text``.
 
+    Texts link if their sets of shingles share at least ``percent`` of their union.
     A null or empty text has no shingles and links with nothing. Rows with equal
     ids are one vertex; a null id links with nothing, keeps a null component and
     is kept. Other columns are not used. An empty table gives an empty result.
@@ -269,10 +296,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     # a class is known by half of its fingerprint, and read from its smallest document
     classes = classes.select(F.col("one").alias("id"), "doc_id", "n", "one", "two")
-    # with less than 6 shingles a link needs equal sets
-    wide = classes.filter("n >= 6")
+    # a set too small for one shingle more to stay within the threshold links with equal sets only
+    wide = classes.filter(F.col("n") * (100 - percent) >= percent)
     of_class = docs.join(wide.select("doc_id").distinct(), "doc_id", "left_semi")
-    made = of_class.mapInArrow(_registers, "doc_id long, n long, one long, two long, keys array<long>, registers binary")
+    made = of_class.mapInArrow(_registers(band_rows(percent)), "doc_id long, n long, one long, two long, keys array<long>, registers binary")
     made = made.withColumn("id", F.col("one"))
     # documents with one id may hold several texts; each class keeps the one that it is read from
     table = materialise(made.join(wide.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "n", "keys", "registers"), "registers")
@@ -287,9 +314,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     star = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     one = table.select(F.col("id").alias("a"), F.col("registers").alias("x"), F.col("n").alias("m"))
     two = table.select(F.col("id").alias("b"), F.col("registers").alias("y"), "n")
-    tried = materialise(star.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_estimate, "a long, b long"), "tried")
+    tried = materialise(star.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_estimate(percent), "a long, b long"), "tried")
     texts = docs.join(wide.select("id", "doc_id"), "doc_id").select("id", "text")
-    links = materialise(_verified(tried, texts), "verified")
+    links = materialise(_verified(tried, texts, percent), "verified")
     label = materialise(_labels(table, links), "labels")
     labelled = members.select("band", "bucket", "id", "members").join(label, "id")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).filter("low_label <> high_label").select("bucket")
@@ -299,7 +326,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.select("band", "bucket", "id", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     rows = materialise(rows, "mixed-buckets")
     full = rows.join(table, "id").join(_packed(texts, rows), "id")
-    more = materialise(full.groupBy("band", "bucket", "low", "high").applyInArrow(_across, "a long, b long"), "verified")
+    more = materialise(full.groupBy("band", "bucket", "low", "high").applyInArrow(_across(percent), "a long, b long"), "verified")
     # classes by their smallest document, and all documents of a class by that one
     ids = classes.select("id", "doc_id")
     named = links.union(more).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -118,3 +118,16 @@ def test_query_equals_brute_force_on_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     result = sorted((tuple(r) for r in hm.op10_minhash_near_dedup(spark, sf_dir).collect()), key=str)
     assert result == brute(rows) and any(not r[3] for r in result)
+
+
+def test_threshold_of_four_fifths(spark):
+    rows, linked = [], set()
+    # 4 of 5, 33 of 40, 84 of 100 and 820 of 1,000 shingles link at 80%; 3 of 4, 79 of 100 and 790 of 1,000 do not
+    for seed in range(20):
+        for n, more, near in [(8, 1, True), (37, 7, True), (88, 16, True), (824, 180, True), (7, 1, False), (83, 21, False), (794, 210, False)]:
+            w = [f"s{seed}n{n}w{i}" for i in range(n + more)]
+            d = len(rows)
+            rows += [(d, " ".join(w)), (d + 1, " ".join(w[:n]))]
+            linked |= {d + 1} if near else set()
+    assert {r[0] for r in got(spark, rows, percent=80) if not r[3]} == linked
+    assert [hm.band_rows(p) for p in (80, 85)] == [6, 8]
