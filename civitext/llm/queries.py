@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from civitext.llm.ann_search import op4_nearest_neighbours
 from civitext.llm.byte_bpe import op9_byte_bpe
+from civitext.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from civitext.llm.embedding_dedup import op2_embedding_dedup
 from civitext.llm.html_blocks import op7_html_extraction
 from civitext.llm.hyperminhash import op10_minhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES = [
     op8_mixing,
     op9_byte_bpe,
     op10_minhash_near_dedup,
+    op11_conversation_repair,
 ]
 
 
@@ -37,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are tested against brute force, round trips or held-out rows."""
-    return {"op8_mixing": OP8_SQL}
+    return {"op8_mixing": OP8_SQL, "op11_conversation_repair": OP11_SQL}
