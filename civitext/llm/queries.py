@@ -10,6 +10,7 @@ from civitext.llm.ann_search import op4_nearest_neighbours
 from civitext.llm.byte_bpe import op9_byte_bpe
 from civitext.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from civitext.llm.embedding_dedup import op2_embedding_dedup
+from civitext.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from civitext.llm.html_blocks import op7_html_extraction
 from civitext.llm.hyperminhash import op10_minhash_near_dedup
 from civitext.llm.mixing import OP8_SQL, op8_mixing
@@ -30,6 +31,7 @@ QUERIES = [
     op9_byte_bpe,
     op10_minhash_near_dedup,
     op11_conversation_repair,
+    op12_hard_negatives,
 ]
 
 
@@ -39,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are tested against brute force, round trips or held-out rows."""
-    return {"op8_mixing": OP8_SQL, "op11_conversation_repair": OP11_SQL}
+    return {"op8_mixing": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_hard_negatives": OP12_SQL}
