@@ -18,6 +18,7 @@ from civitext.llm.quality_cnn import op5_quality_classifier
 from civitext.llm.secret_scan import op6_secret_scan
 from civitext.llm.substring_dedup import op1_substring_dedup
 from civitext.llm.token_files import op3_token_files
+from civitext.llm.toxicity_kernel import op13_toxicity
 
 QUERIES = [
     op1_substring_dedup,
@@ -32,6 +33,7 @@ QUERIES = [
     op10_minhash_near_dedup,
     op11_conversation_repair,
     op12_hard_negatives,
+    op13_toxicity,
 ]
 
 
