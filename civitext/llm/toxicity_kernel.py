@@ -88,16 +88,17 @@ class Words:
         space = symbol == _SPACE
         ends = points == 10
         ends[1:] |= space[1:] & np.isin(points[:-1], [ord(c) for c in ".!?"])
-        sentence, text = np.cumsum(ends), np.repeat(np.arange(len(sizes)), sizes)
+        del points
         kept = symbol != _SKIP
-        symbol, space, sentence, text = symbol[kept], space[kept], sentence[kept], text[kept]
+        sentence, text = np.cumsum(ends, dtype=np.int32)[kept], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept]
+        symbol, space = symbol[kept], space[kept]
         before = np.concatenate(([True], space[:-1]))
         starts = np.flatnonzero(~space & before)
         if not len(starts):
             none = np.zeros(0, np.int64)
             return cls(np.zeros(0, np.uint8), np.zeros(1, np.int64), none, none, none, len(sizes))
         n = np.add.reduceat((~space).astype(np.int64), starts)
-        letters, sentence, text = symbol[~space], sentence[starts], text[starts]
+        letters, sentence, text = symbol[~space], sentence[starts].astype(np.int64), text[starts].astype(np.int64)
         starts = np.cumsum(n) - n
         head = ~_glued(n, letters[starts], sentence)
         starts, sentence, text = starts[head], sentence[head], text[head]
@@ -223,8 +224,8 @@ def kernels(words: Words, landmarks: Words) -> np.ndarray:
     place_of[distinct] = np.arange(len(distinct))
     out = np.zeros((len(words.first) - 1, len(norm)), np.float32)
     norm = _norms(words)
-    for a in range(0, len(out), 4096):  # some words at a time
-        part = _pick(words, np.arange(a, min(a + 4096, len(out))))
+    for a in range(0, len(out), 128):  # some words at a time
+        part = _pick(words, np.arange(a, min(a + 128, len(out))))
         owner = np.repeat(np.arange(len(part.first) - 1), np.diff(part.first))
         hits = [(owner[p[hit]], place_of[k[hit]], np.full(hit.sum(), w)) for p, k, w in _found(part) for hit in [place_of[k] >= 0]]
         own, at, weight = (np.concatenate(c) for c in zip(*hits))
@@ -240,15 +241,19 @@ def kernels(words: Words, landmarks: Words) -> np.ndarray:
 def _machine(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Squared-hinge weights by Newton's method; each row counts as toxic and as clean so many times."""
     used = np.flatnonzero(toxic + clean > 0)
-    x, p, q = x[used], toxic[used] / max(toxic.sum(), 1), clean[used] / max(clean.sum(), 1)
+    p, q = toxic[used] / max(toxic.sum(), 1), clean[used] / max(clean.sum(), 1)
     ridge = np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-9
     weights = np.zeros(x.shape[1])
     for _ in range(8):
-        f = x @ weights
-        short, over = p * (f < 1), q * (f > -1)
-        gradient = x.T @ (short * (f - 1) + over * (f + 1)) + ridge * weights
-        step = np.linalg.solve((x * (short + over)[:, None]).T @ x + np.diag(ridge), gradient)
+        gradient, curve = ridge * weights, np.diag(ridge)
+        for a in range(0, len(used), 8192):  # some rows at a time
+            rows = x[used[a : a + 8192]].astype(np.float64)
+            f = rows @ weights
+            short, over = p[a : a + 8192] * (f < 1), q[a : a + 8192] * (f > -1)
+            gradient += rows.T @ (short * (f - 1) + over * (f + 1))
+            curve += (rows * (short + over)[:, None]).T @ rows
+        step = np.linalg.solve(curve, gradient)
         weights = weights - step
         if np.abs(step).max() < 1e-6 * max(1, np.abs(weights).max()):
             break
@@ -274,7 +279,7 @@ def _landmarks(words: Words, toxic: np.ndarray, clean: np.ndarray, texts: np.nda
     differs = (toxic / some - clean / none) / spread
     able = np.flatnonzero(np.diff(words.first) >= ORDER + 2)
     order = able[np.argsort(-differs[able], kind="stable")]
-    telling = order[: 4 * LANDMARKS]
+    telling = order[: 3 * LANDMARKS]
     alike, own = kernels(_pick(words, telling), _pick(words, telling)) >= ALIKE, []
     for i in range(len(telling)):
         if len(own) < LANDMARKS // 2 and not alike[i, own].any():
@@ -299,7 +304,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> Model:
     values, vectors = np.linalg.eigh(kernels(landmarks, landmarks).astype(np.float64))
     sound = values > 1e-3 * values.max()
     whiten = vectors[:, sound] / np.sqrt(values[sound])
-    x = np.column_stack([kernels(words, landmarks) @ whiten.astype(np.float32), np.ones(distinct, np.float32)])
+    x = np.ones((distinct, whiten.shape[1] + 1), np.float32)
+    x[:, :-1] = kernels(words, landmarks) @ whiten.astype(np.float32)
     for turn in range(ROUNDS):
         if turn:
             toxic = np.bincount(_strongest(words, margin, y), minlength=distinct).astype(float)
