@@ -7,27 +7,25 @@ any partitioning.
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitext.functions import tokens as tok
 from civitext.operators.lookup import TokenTable
+from civitext.operators.model_store import ModelNotFound, Version, latest, publish
 from civitext.session import materialise
 from civitext.tasks import Task, get_task
 
+__all__ = ["ModelNotFound", "NaiveBayes", "fit", "load"]
+
 SCALE = 1_000_000_000
 _COUNTS_SCHEMA = "token string, n array<bigint>, total bigint"
-_STATS_SCHEMA = "stats string"
-
-
-class ModelNotFound(FileNotFoundError):
-    """There is no saved model at the given path."""
+_KIND = "naive_bayes"
 
 
 @dataclass(frozen=True)
@@ -83,37 +81,45 @@ class NaiveBayes:
             self, counts=kept, alpha=alpha, vocabulary_size=size, vocabulary_bytes=chars, class_tokens=tokens
         )
 
-    def save(self, path: str) -> None:
-        self.counts.write.parquet(f"{path}/counts")
-        stats = {
-            "task": self.task.name,
+    def save(
+        self,
+        path: str,
+        config: Mapping[str, Any] | None = None,
+        metrics: Mapping[str, float] | None = None,
+        mode: str = "append",
+    ) -> Version:
+        """Publish a version with its settings and metrics; see ``model_store.publish`` for the modes."""
+        counts = {
             "class_rows": self.class_rows,
             "class_tokens": self.class_tokens,
             "vocabulary_size": self.vocabulary_size,
             "vocabulary_bytes": self.vocabulary_bytes,
-            "alpha": self.alpha,
         }
-        spark = self.counts.sparkSession
-        spark.createDataFrame([(json.dumps(stats),)], _STATS_SCHEMA).write.text(f"{path}/stats")
+        return publish(
+            self.counts.sparkSession,
+            path,
+            _KIND,
+            self.task.name,
+            lambda folder: self.counts.write.parquet(f"{folder}/counts"),
+            {"alpha": self.alpha, **(config or {})},
+            metrics,
+            counts,
+            mode,
+        )
 
 
 def load(spark: SparkSession, path: str) -> NaiveBayes:
-    """Load a saved model; a missing one is an error with its path."""
-    try:
-        stats = json.loads(spark.read.text(f"{path}/stats").first()[0])
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            raise ModelNotFound(f"no model at {path}; train and save one first") from None
-        raise
-    counts = spark.read.schema(_COUNTS_SCHEMA).parquet(f"{path}/counts")
+    """Load the newest saved model; a missing one is an error with its path."""
+    found = latest(spark, path, _KIND)
+    counts = spark.read.schema(_COUNTS_SCHEMA).parquet(f"{found.folder}/counts")
     return NaiveBayes(
-        get_task(stats["task"]),
+        get_task(found.task),
         counts,
-        tuple(stats["class_rows"]),
-        tuple(stats["class_tokens"]),
-        stats["vocabulary_size"],
-        stats["vocabulary_bytes"],
-        stats["alpha"],
+        tuple(found.counts["class_rows"]),
+        tuple(found.counts["class_tokens"]),
+        found.counts["vocabulary_size"],
+        found.counts["vocabulary_bytes"],
+        found.config["alpha"],
     )
 
 
@@ -143,3 +149,24 @@ def fit(train: DataFrame, task: str | Task, alpha: float = 1.0, text_col: str =
     size, chars, tokens = _totals(counts, task)
     by_class = {r.label_id: r.n for r in train.groupBy("label_id").agg(F.count("*").alias("n")).collect()}
     return NaiveBayes(task, counts, tuple(by_class.get(c, 0) for c in task.ids), tokens, size, chars, alpha)
+
+
+def fit_tasks(table: DataFrame, names: Sequence[str], alpha: float = 1.0, text_col: str = "text") -> dict[str, NaiveBayes]:
+    """Train several tasks, given by name, on the result of ``prepare.preprocess_tasks``, with one count of the tokens.
+
+    Each model is the one that ``fit`` gives on the training part of its task.
+    """
+    tasks = [get_task(name) for name in names]
+    taught = [F.when(F.col(f"split_{t.name}") == "train", F.col(f"label_id_{t.name}")).alias(f"c{i}") for i, t in enumerate(tasks)]
+    rows = table.select(*taught, text_col).filter(F.coalesce(*(f"c{i}" for i in range(len(tasks)))).isNotNull())
+    tokens = rows.select(*(f"c{i}" for i in range(len(tasks))), F.explode(tok.words(F.col(text_col))).alias("token"))
+    per_class = [F.array(*(F.count_if(F.col(f"c{i}") == c) for c in t.ids)).alias(f"n{i}") for i, t in enumerate(tasks)]
+    counts = tokens.groupBy("token").agg(*per_class, *(F.count(f"c{i}").alias(f"total{i}") for i in range(len(tasks))))
+    counts = materialise(counts, "token-counts")
+    sizes = rows.agg(*(F.array(*(F.count_if(F.col(f"c{i}") == c) for c in t.ids)).alias(f"r{i}") for i, t in enumerate(tasks))).first()
+    models = {}
+    for i, task in enumerate(tasks):
+        own = counts.filter(F.col(f"total{i}") > 0).select("token", F.col(f"n{i}").alias("n"), F.col(f"total{i}").alias("total"))
+        size, chars, occurrences = _totals(own, task)
+        models[task.name] = NaiveBayes(task, own, tuple(sizes[f"r{i}"]), occurrences, size, chars, alpha)
+    return models
