@@ -3,9 +3,12 @@
 Token frequencies are heavily skewed: one word can hold a large part of all
 rows. A table of checked size is broadcast. A larger one is cut in two. Its
 head, the tokens that each hold at least 1/M of all counted occurrences, has at
-most M rows whatever the data looks like, and is broadcast. Only the remaining
-rows are shuffled, and those are salted, so that a token that is rare in the
-table but common in the rows is still spread over many tasks.
+most M rows whatever the data looks like, and is broadcast. A bitmap of hashes of
+the other tokens, of bounded size, is broadcast too: a row whose bit is not set
+is of no token in the table and is settled where it stands, however common the
+token is. Only rows that may be in the tail are shuffled, and those are salted, so
+that a token that is rare in the table but common in the rows is still spread over
+many tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 SALTS = 16
+# Bits of the bitmap for each token of the tail, and its largest size. A smaller
+# share of bits lets more unknown tokens through to the join and changes no result.
+BITS_PER_TOKEN, BITMAP_BYTES = 16, 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -55,11 +61,11 @@ def join_tokens(
         return rows.join(F.broadcast(tokens.table), "token", "left")
 
     head, tail = _parts(tokens, max_rows)
-    probed = rows.join(F.broadcast(head), "token", "left")
-    settled = F.col("token").isNull() | F.col(tokens.total).isNotNull()
+    probed = _in_tail(rows.join(F.broadcast(head), "token", "left"), tail, tokens)
+    settled = F.col("token").isNull() | F.col(tokens.total).isNotNull() | ~F.col("_in_tail")
     open_rows = probed.filter(~settled).select(*rows.columns, _salt(key, salts).alias("salt"))
     resolved = open_rows.join(_salted(tail, salts), ["token", "salt"], "left").drop("salt")
-    return probed.filter(settled).unionByName(resolved)
+    return probed.filter(settled).drop("_in_tail").unionByName(resolved)
 
 
 def sum_by_key(
@@ -88,8 +94,9 @@ def sum_by_key(
         return rows.join(F.broadcast(tokens.table), "token", "left").groupBy(*keys).agg(*totals)
 
     head, tail = _parts(tokens, max_rows)
-    probed = rows.join(F.broadcast(head), "token", "left")
-    unsettled = F.when(F.col(tokens.total).isNull(), F.col("token"))  # collect_list skips NULL
+    probed = _in_tail(rows.join(F.broadcast(head), "token", "left"), tail, tokens)
+    # collect_list skips NULL
+    unsettled = F.when(F.col(tokens.total).isNull() & F.col("_in_tail"), F.col("token"))
     first = probed.groupBy(*keys).agg(*totals, F.collect_list(unsettled).alias("open"))
 
     # Place 0 carries the sums so far. Its token is NULL and joins nothing; its
@@ -113,6 +120,22 @@ def _parts(tokens: TokenTable, max_rows: int) -> tuple[DataFrame, DataFrame]:
     return tokens.table.filter(is_head), tokens.table.filter(~is_head)
 
 
+def _in_tail(rows: DataFrame, tail: DataFrame, tokens: TokenTable) -> DataFrame:
+    """Add ``_in_tail``: false if the row's token is certainly not in the tail.
+
+    The bitmap has at most ``BITMAP_BYTES`` in pieces of 32,768 bits; a row looks
+    up the piece of its token's hash.
+    """
+    bits = min(1 << max(15, (tokens.rows * BITS_PER_TOKEN - 1).bit_length()), 8 * BITMAP_BYTES)
+    place = F.pmod(F.xxhash64("token"), F.lit(bits)) + 1
+    piece, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = tail.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    probed = rows.withColumns({"_piece": piece, "_bit": bit}).join(F.broadcast(marks), "_piece", "left")
+    octet = "ascii(decode(substring(_bits, CAST(_bit div 8 AS INT) + 1, 1), 'ISO-8859-1'))"
+    marked = F.expr(f"coalesce((shiftright({octet}, CAST(_bit % 8 AS INT)) & 1) = 1, false)")
+    return probed.withColumn("_in_tail", marked).drop("_piece", "_bit", "_bits")
+
+
 def _salt(key: str, salts: int) -> Column:
     # Declared never NULL, or a NULL test would be pushed into one of the two
     # branches of a plan and keep them from sharing a shuffle of the texts.
