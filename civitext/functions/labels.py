@@ -22,10 +22,14 @@ def _lookup(pairs, key: Column) -> Column:
     return F.try_element_at(table, key)
 
 
+def clean(label: Column) -> Column:
+    """A label in lower case without white space at its ends."""
+    return F.btrim(F.lower(label), F.lit(_BLANKS))
+
+
 def encode(label: Column, task: str | Task) -> Column:
     """Integer id of a label; NULL when the label is unknown or NULL."""
-    cleaned = F.btrim(F.lower(label), F.lit(_BLANKS))
-    return _lookup(get_task(task).aliases.items(), cleaned).cast("int")
+    return _lookup(get_task(task).aliases.items(), clean(label)).cast("int")
 
 
 def decode(label_id: Column, task: str | Task) -> Column:

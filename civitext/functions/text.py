@@ -29,6 +29,17 @@ EMOJI_RANGES = (
     ("2702", "27B0"),
     ("24C2", "1F251"),
 )
+# The blocks that hold nothing but pictographs, for the strict
+# variant: no letter of any script is in them, and newer emoji are.
+STRICT_EMOJI_RANGES = (
+    ("1F1E6", "1F1FF"),
+    ("1F300", "1F64F"),
+    ("1F680", "1F6FF"),
+    ("1F7E0", "1F7EB"),
+    ("1F900", "1F9FF"),
+    ("1FA70", "1FAFF"),
+    ("2600", "27BF"),
+)
 # Characters mapped onto an equivalent one.
 EQUIVALENTS = {"\u1215": "\u1200", "\u1206": "\u1200", "\u1a00": "\u12a0"}
 # The core Ethiopic block.
@@ -56,6 +67,8 @@ NFC_STABLE = (
 # after the other, so an outer range that rules out plain letters at the first
 # comparison halves the time of a pass.
 _FAST_EMOJI = rf"[\x{{24C2}}-\x{{1F6FF}}&&[{EMOJI}]]+"
+_STRICT = "".join(rf"\x{{{lo}}}-\x{{{hi}}}" for lo, hi in STRICT_EMOJI_RANGES)
+_STRICT_EMOJI = rf"[{_STRICT}][{_STRICT}\x{{200D}}\x{{FE0F}}]*"
 _FAST_PUNCTUATION = r"\p{Punct}{2,}"
 _FAST_WHITESPACE = rf"[{_LATIN_SPACE}[\x{{1680}}-\x{{3000}}&&[{_OTHER_SPACE}]]]+"
 _NOT_STABLE = rf"[\x{{300}}-\x{{10FFFF}}&&[^{NFC_STABLE}]]"
@@ -95,8 +108,13 @@ def unwrap_hashtags(text: Column) -> Column:
     return F.regexp_replace(text, HASHTAG_PATTERN, " $1 ")
 
 
-def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, _FAST_EMOJI, " ")
+def strip_emoji(text: Column, strict: bool = False) -> Column:
+    """Remove emoji; ``strict`` keeps the scripts that the wide ranges hold, and takes newer emoji.
+
+    Skin tones lie inside the strict ranges; joiners and variation selectors go with
+    the emoji that they belong to.
+    """
+    return F.regexp_replace(text, _STRICT_EMOJI if strict else _FAST_EMOJI, " ")
 
 
 def collapse_punctuation(text: Column) -> Column:
@@ -108,11 +126,11 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _FAST_WHITESPACE, " "))
 
 
-def normalise(text: Column) -> Column:
+def normalise(text: Column, strict_emoji: bool = False) -> Column:
     """The whole chain; a NULL input becomes the empty string."""
     composed = nfc(null_to_empty(text))
     bare = unwrap_hashtags(strip_mentions(strip_urls(composed)))
-    return collapse_whitespace(collapse_punctuation(strip_emoji(bare)))
+    return collapse_whitespace(collapse_punctuation(strip_emoji(bare, strict_emoji)))
 
 
 def unify_equivalents(text: Column) -> Column:

@@ -6,7 +6,7 @@ the number of classes bounds all later steps.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +38,12 @@ def class_statistics(
             F.count_if(pred == c).alias(f"pred{c}"),
         ]
 
+    return df.agg(*counts).select("n", "correct", _figures(id2label).alias("classes"))
+
+
+def _figures(id2label: Mapping[int, str]) -> Column:
+    """Per-class figures from the sums ``tp<c>``, ``true<c>`` and ``pred<c>``."""
+
     def figures(c: int) -> Column:
         tp, support, predicted = F.col(f"tp{c}"), F.col(f"true{c}"), F.col(f"pred{c}")
         return F.struct(
@@ -49,8 +55,7 @@ def class_statistics(
             support.alias("support"),
         )
 
-    classes = F.array(*(figures(c) for c in sorted(id2label)))
-    return df.agg(*counts).select("n", "correct", classes.alias("classes"))
+    return F.array(*(figures(c) for c in sorted(id2label)))
 
 
 def _macro(name: str, k: int) -> Column:
@@ -70,16 +75,18 @@ def full_report(
     y_pred: str = "y_pred",
 ) -> DataFrame:
     """The metric record of one model, rounded to four places."""
-    k = len(id2label)
     stats = class_statistics(df, id2label, y_true, y_pred)
-    return stats.select(
-        F.lit(task_name).alias("task"),
+    return stats.select(F.lit(task_name).alias("task"), *_record(len(id2label)))
+
+
+def _record(k: int) -> list[Column]:
+    return [
         F.round(_ratio(F.col("correct"), F.col("n")), 4).alias("accuracy"),
         F.round(_macro("f1", k), 4).alias("f1_macro"),
         F.round(_weighted("f1", k), 4).alias("f1_weighted"),
         F.round(_macro("precision", k), 4).alias("precision"),
         F.round(_macro("recall", k), 4).alias("recall"),
-    )
+    ]
 
 
 def accuracy(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -115,11 +122,21 @@ def class_report(
     return stats.select(F.explode(F.array(*lines)).alias("line")).select("line.*")
 
 
-def f1_binary(df: DataFrame, pos_label: int = 1, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """F1 of one class. The default, class 1, is ``real`` in the veracity task."""
-    true, pred = F.col(y_true) == pos_label, F.col(y_pred) == pos_label
-    f1 = _ratio(2 * F.count_if(true & pred), F.count_if(true) + F.count_if(pred))
-    return df.agg(F.lit(pos_label).alias("pos_label"), F.round(f1, 4).alias("f1_binary"))
+def f1_binary(
+    df: DataFrame, pos_label: int | Sequence[int] = 1, y_true: str = "y_true", y_pred: str = "y_pred"
+) -> DataFrame:
+    """F1 of one class, or a row for each of several, from one aggregation.
+
+    The default, class 1, is ``real`` in the veracity task.
+    """
+
+    def row(label: int) -> Column:
+        true, pred = F.col(y_true) == label, F.col(y_pred) == label
+        f1 = _ratio(2 * F.count_if(true & pred), F.count_if(true) + F.count_if(pred))
+        return F.struct(F.lit(label).alias("pos_label"), F.round(f1, 4).alias("f1_binary"))
+
+    wanted = [pos_label] if isinstance(pos_label, int) else list(pos_label)
+    return df.agg(F.array(*map(row, wanted)).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
 
 
 def confusion_matrix(
@@ -146,9 +163,36 @@ def confusion_matrix_normalised(
     )
 
 
-def compare_models(reports: list[DataFrame]) -> DataFrame:
+def model_reports(
+    df: DataFrame, id2label: Mapping[int, str], predictions: Mapping[str, str], y_true: str = "y_true"
+) -> DataFrame:
+    """The metric record of several models from one pass over their predictions.
+
+    ``predictions`` names a model's column of predicted ids. Each row gives one
+    cell of the confusion counts of every model, so the aggregation holds one row
+    for each model and pair of classes, and the rest works on those.
+    """
+    cells = [F.struct(F.lit(model).alias("task"), F.col(column).alias("y_pred")) for model, column in predictions.items()]
+    judged = df.select(F.col(y_true).alias("y_true"), F.explode(F.array(*cells)).alias("cell"))
+    counts = judged.groupBy("cell.task", "y_true", "cell.y_pred").agg(F.count("*").alias("n"))
+    return _reports(counts, id2label)
+
+
+def _reports(counts: DataFrame, id2label: Mapping[int, str]) -> DataFrame:
+    """Metric records from ``task, y_true, y_pred, n``."""
+    k = len(id2label)
+    some = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    true, pred = F.col("y_true"), F.col("y_pred")
+    sums = [F.sum("n").alias("n"), some(true == pred).alias("correct")]
+    for c in sorted(id2label):
+        sums += [some((true == c) & (pred == c)).alias(f"tp{c}"), some(true == c).alias(f"true{c}"), some(pred == c).alias(f"pred{c}")]
+    stats = counts.groupBy("task").agg(*sums).select("task", "n", "correct", _figures(id2label).alias("classes"))
+    return stats.select("task", *_record(k))
+
+
+def compare_models(reports: DataFrame | Sequence[DataFrame]) -> DataFrame:
     """Metric records of several models, best macro F1 first, with their rank."""
-    stacked = reduce(lambda a, b: a.unionByName(b), reports)
+    stacked = reports if isinstance(reports, DataFrame) else reduce(lambda a, b: a.unionByName(b), reports)
     # One row per model enters the window.
     place = F.row_number().over(Window.orderBy(F.desc("f1_macro"), "task"))
     return stacked.withColumn("rank", place).orderBy("rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -93,6 +94,41 @@ def length_median(frequencies: DataFrame) -> DataFrame:
     return frequencies.groupBy("dataset").agg(F.sum("n").alias("n"), weighted.alias("median_length"))
 
 
+# Size of the sketches, and how far (as a share of the rows) the rank of a
+# quantile may lie from the one asked for: the sketch's own bound at 99 percent
+# for this size, which is 1.33 percent, with room for merges.
+SKETCH_SIZE, RANK_ERROR = 200, 0.02
+
+
+def length_sketches(df: DataFrame, by: Sequence[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """A quantile sketch of the text lengths of each group, in a few KB whatever its rows.
+
+    Sketches can be stored, and merged later into those of coarser groups
+    without the texts.
+    """
+    lengths = df.filter(F.col("text").isNotNull()).select(*by, F.length("text").cast("long").alias("length"))
+    return lengths.groupBy(*by).agg(F.count("*").alias("n"), F.kll_sketch_agg_bigint("length", F.lit(size)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketch_quantile(sketches: DataFrame, share: float, name: str = "length") -> DataFrame:
+    """The length at a share of the rows, exact up to the sketch's rank error."""
+    return sketches.withColumn(name, F.kll_sketch_get_quantile_bigint("sketch", F.lit(share))).withColumn("share", F.lit(share)).drop("sketch")
+
+
+def rank_error(estimated: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """How far the rank of each estimated ``length`` lies from its ``share``, by the exact counts of ``length_frequencies``."""
+    exact = frequencies.select("dataset", F.col("length").alias("_length"), F.col("n").alias("_n"))
+    joined = estimated.join(exact, "dataset").groupBy("dataset", "n", "share", "length")
+    below, upto = (F.sum(F.when(test, F.col("_n")).otherwise(0)) for test in (F.col("_length") < F.col("length"), F.col("_length") <= F.col("length")))
+    ranked = joined.agg((below / F.sum("_n")).alias("low"), (upto / F.sum("_n")).alias("high"))
+    gap = F.greatest(F.col("low") - F.col("share"), F.col("share") - F.col("high"), F.lit(0.0))
+    return ranked.select("dataset", "n", "share", "length", gap.alias("rank_error"))
+
+
 def sample_per_class(df: DataFrame, k: int = 2, seed: int = 42, key: str = "doc_id", preview: int = 120) -> DataFrame:
     """``k`` random rows of each class with the start of their text.
 

@@ -1,21 +1,27 @@
 """The registered queries once more, as SQL for another engine.
 
 Each entry states its result from the definitions, over whole tables, with
-plain windows and joins; nothing here is shared with the Spark operators but
-the fixed patterns.
+plain windows and joins; nothing here is shared with the Spark operators.
 """
 
 from __future__ import annotations
 
-from civitext.functions import text as tx
+# The patterns are stated here by themselves, not taken from the Spark side, so
+# that a mistake in one of the two shows.
+# White space, characters of a word, and the ranges removed as emoji.
+_BLANK = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}-\x{2029}\x{202f}\x{205f}\x{3000}"
+_LETTER = r"_\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{Nd}\p{Nl}\p{No}"
+_WIDE_EMOJI = r"\x{24C2}-\x{1F251}\x{2702}-\x{27B0}\x{1F1E0}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}"
+_PICTOGRAPHS = r"\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}"
+_STRICT_EMOJI = rf"[{_PICTOGRAPHS}][{_PICTOGRAPHS}\x{{200D}}\x{{FE0F}}]*"
 
 _STEPS = [
-    (tx.URL_PATTERN, " "),
-    (tx.MENTION_PATTERN, " "),
-    (tx.HASHTAG_PATTERN, r" \1 "),
-    (tx.EMOJI_PATTERN, " "),
-    (tx.PUNCTUATION_PATTERN, " "),
-    (tx.WHITESPACE_PATTERN, " "),
+    (rf"http(?:s|)://[^{_BLANK}]+|www[.][^{_BLANK}]+", " "),
+    (rf"@[{_LETTER}]+", " "),
+    (rf"#([{_LETTER}]+)", r" \1 "),
+    (f"[{_WIDE_EMOJI}]+", " "),
+    ("[!-/:-@[-`{-~][!-/:-@[-`{-~]+", " "),
+    (f"[{_BLANK}]+", " "),
 ]
 
 
@@ -24,15 +30,16 @@ def _replace(text: str, step: int) -> str:
     return f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
 
 
-def _normal(text: str = "text") -> str:
+def _normal(text: str = "text", strict: bool = False) -> str:
     result = f"nfc_normalize(coalesce({text}, ''))"
     for step in range(len(_STEPS)):
-        result = _replace(result, step)
+        emoji = strict and step == 3
+        result = f"regexp_replace({result}, '{_STRICT_EMOJI}', ' ', 'g')" if emoji else _replace(result, step)
     return f"trim({result})"
 
 
 def _words(text: str = "text") -> str:
-    return f"regexp_extract_all(lower({text}), '[{tx.WORD}]+')"
+    return f"regexp_extract_all(lower({text}), '[{_LETTER}]+')"
 
 
 _SPLIT_OF = "CASE WHEN {0} % 10 <= 6 THEN 'train' WHEN {0} % 10 = 7 THEN 'validation' ELSE 'test' END"
@@ -334,7 +341,7 @@ UNION ALL SELECT doc_id, text, {_proper('label')}, 'test' FROM roles"""
     sql["ingest_harmonised"] = f"WITH {_ROLES} SELECT doc_id, text, label, split FROM roles"
     sql["csv_roundtrip"] = sql["ingest_harmonised"]
     sql["splits_roundtrip"] = f"""WITH {_split('harm')}
-SELECT doc_id, label, label_id, split, CAST(length(text) AS INTEGER) AS n_chars FROM harm_split"""
+SELECT doc_id, text, label, label_id, split FROM harm_split"""
     sql["dataset_manifest"] = f"""WITH {_HARM}, {_ROLES}
 SELECT 'labelled_documents' AS dataset, count(*) AS rows, 'doc_id,text,lang,label,split' AS column_names FROM harm
 UNION ALL SELECT 'conversation_roles', count(*), 'doc_id,text,label,split' FROM roles"""
@@ -367,11 +374,12 @@ FROM ends e CROSS JOIN (SELECT unnest(range(1, 41)) AS bin) b
 LEFT JOIN placed p ON p.dataset = e.dataset AND p.bin = b.bin"""
     sql["text_length_median"] = f"""{_FREQUENCIES}
 SELECT dataset, count(*) AS n, median(len) AS median_length FROM lengths GROUP BY dataset"""
+    sql["text_length_sketch"] = f"{_FREQUENCIES} SELECT dataset, count(*) AS n, true AS within_bound FROM lengths GROUP BY dataset"
     sql["sample_per_class"] = f"""WITH {_HARM}
 SELECT label, CAST(place AS INTEGER) AS rank, doc_id, substr(text, 1, 120) AS preview
 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) AS place FROM harm
       WHERE text IS NOT NULL) WHERE place <= 2"""
-    only = f"regexp_replace(text, '[^{tx.ETHIOPIC}]', '', 'g')"
+    only = "regexp_replace(text, '[^\\x{1200}-\\x{137F}]', '', 'g')"
     sql["script_coverage"] = f"""WITH {_SPARSE}, letters AS (SELECT lang, text, {only} AS ethiopic FROM sparse WHERE text IS NOT NULL),
 marks AS (SELECT lang, unnest(regexp_extract_all(ethiopic, '.')) AS mark FROM letters)
 SELECT l.lang, count(*) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars,
@@ -393,19 +401,32 @@ SELECT doc_id, text, {_normal()} AS normalised, text <> {_normal()} AS changed F
         sql[name] = _text(_NOISY, "noisy", f"trim({replaced})" if name == "collapse_ws" else replaced)
     sql["normalise_text"] = _text(_SPARSE, "sparse", _normal())
     sql["unify_equivalents"] = _text(
-        _NOISY, "noisy", f"translate(text, '{''.join(tx.EQUIVALENTS)}', '{''.join(tx.EQUIVALENTS.values())}')"
+        _NOISY, "noisy", "replace(replace(replace(text, '\u1215', '\u1200'), '\u1206', '\u1200'), '\u1a00', '\u12a0')"
     )
+    sql["strip_emoji_strict"] = _text(_NOISY, "noisy", f"regexp_replace(text, '{_STRICT_EMOJI}', ' ', 'g')")
+    sql["normalise_text_strict"] = _text(_SPARSE, "sparse", _normal(strict=True))
     sql["drop_near_empty"] = f"""WITH {_SPARSE}
 SELECT * FROM (SELECT doc_id, {_normal()} AS text FROM sparse) WHERE length(text) > 2"""
 
     # Labels
-    encoded = _ID["harm"].format(f"regexp_replace(lower(label), '^[{tx.WHITESPACE}]+|[{tx.WHITESPACE}]+$', '', 'g')")
+    encoded = _ID["harm"].format(f"regexp_replace(lower(label), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')")
     sql["project_clean"] = f"""WITH {_MESSY}
 SELECT doc_id, text, label, split FROM messy WHERE text IS NOT NULL AND label IS NOT NULL"""
     sql["encode_labels"] = f"""WITH {_MESSY}
 SELECT * FROM (SELECT doc_id, label, CAST({encoded} AS INTEGER) AS label_id FROM messy) WHERE label_id IS NOT NULL"""
     sql["unknown_labels"] = f"""WITH {_MESSY}, ids AS (SELECT {encoded} AS label_id FROM messy)
 SELECT count(*) AS n_rows, count(label_id) AS n_known, count(*) - count(label_id) AS n_unknown FROM ids"""
+    sql["preprocess_report"] = f"""WITH {_MESSY}, {_SPARSE}, dirty AS (
+  SELECT s.doc_id, {_normal('s.text')} AS text, s.text IS NULL OR m.label IS NULL AS missing, {encoded.replace('(label)', '(m.label)')} AS label_id
+  FROM sparse s JOIN messy m ON s.doc_id = m.doc_id)
+SELECT count(*) AS n_rows, count(*) FILTER (missing) AS n_missing, count(*) FILTER (NOT missing AND label_id IS NULL) AS n_unknown,
+       count(*) FILTER (NOT missing AND label_id IS NOT NULL AND length(text) <= 2) AS n_near_empty,
+       count(*) FILTER (NOT missing AND label_id IS NOT NULL AND length(text) > 2) AS n_kept FROM dirty"""
+    sql["encode_label_table"] = f"""WITH spellings AS (
+  SELECT DISTINCT unnest({_words()}) AS label FROM conversations),
+numbered AS (SELECT label, ('0x' || md5(label)[1:7])::INTEGER AS label_id FROM spellings),
+words AS (SELECT doc_id, unnest({_words()}) AS label FROM documents)
+SELECT doc_id, count(*) AS n, CAST(sum(label_id) AS BIGINT) AS label_ids FROM words JOIN numbered USING (label) GROUP BY doc_id"""
     sql["harmonise_labels"] = f"""{_datasets()}
 SELECT dataset, label_id, {_name('harm', 'label_id')} AS label, count(*) AS n
 FROM (SELECT dataset, CAST({_ID['harm'].format('label')} AS INTEGER) AS label_id FROM stacked)
@@ -490,13 +511,17 @@ FROM history h JOIN stops s ON h.task = s.task JOIN keeps k ON h.task = k.task""
     shares = ", ".join(f"round(p{c}, 4) AS p_{n}" for c, n in enumerate(_LABELS["harm"]))
     sql["softmax_scores"] = f"{scored} SELECT doc_id, {logs}, {shares} FROM harm_scored"
     sql["predict_label"] = f"{scored} SELECT doc_id, CAST(pred AS INTEGER) AS label_id, {_name('harm', 'pred')} AS label FROM harm_scored"
-    sql["model_roundtrip"] = sql["predict_harm"]
     sql["stream_score"] = sql["predict_harm"]
+    sql["lr_train_score"] = f"""WITH {_split('harm')}
+SELECT doc_id, 3 AS n_scores, true AS confidence_is_highest, true AS sums_to_one, true AS label_has_it FROM harm_split WHERE split = 'test'"""
+    sql["linear_roundtrip"] = f"""WITH {_split('harm')}
+SELECT doc_id, true AS same, 'test_accuracy,test_f1_macro,val_accuracy,val_f1_macro' AS metrics, true AS metrics_kept, 42 AS seed,
+       (SELECT count(*) FROM harm_split WHERE split = 'train') AS train_rows FROM harm_split"""
     sql["score_breakdown"] = f"""{scored}, long AS (
   SELECT doc_id, unnest(['hate', 'abusive', 'normal']) AS label, unnest([round(p0, 4), round(p1, 4), round(p2, 4)]) AS score
   FROM harm_scored)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS INTEGER) AS rank, label, score FROM long"""
-    blank = f"NOT regexp_matches(coalesce(text, ''), '[^{tx.WHITESPACE}]')"
+    blank = f"NOT regexp_matches(coalesce(text, ''), '[^{_BLANK}]')"
     sql["predict_status"] = f"""WITH {_model('harm')}, {_SPARSE}, {_scored('harm', 'sparse', _normal())}
 SELECT s.doc_id, CASE WHEN {blank} THEN 'empty_input' ELSE 'ok' END AS status,
        CASE WHEN NOT ({blank}) THEN {_name('harm', 'pred')} END AS label,
@@ -507,12 +532,13 @@ repeated AS (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents
 SELECT CASE WHEN doc_id % 11 <> 0 THEN doc_id END AS doc_id, 'ok' AS status,
        {_name('harm', 'pred')} AS label, round(greatest(p0, p1, p2), 4) AS confidence
 FROM repeated JOIN harm_scored USING (doc_id)"""
-    sql["predict_combined"] = f"""WITH {_model('harm')}, {_model('veracity')},
-{_scored('harm', 'documents', _normal())}, {_scored('veracity', 'documents', _normal())}
-SELECT h.doc_id, 'ok' AS status,
-       {_name('harm', 'h.pred')} AS label_hate_speech, round(greatest(h.p0, h.p1, h.p2), 4) AS confidence_hate_speech,
-       {_name('veracity', 'v.pred')} AS label_fake_news, round(greatest(v.p0, v.p1), 4) AS confidence_fake_news
-FROM harm_scored h JOIN veracity_scored v ON h.doc_id = v.doc_id"""
+    given = f"CASE WHEN NOT ({blank}) THEN"
+    sql["predict_combined"] = f"""WITH {_model('harm')}, {_model('veracity')}, {_SPARSE},
+{_scored('harm', 'sparse', _normal())}, {_scored('veracity', 'sparse', _normal())}
+SELECT h.doc_id, CASE WHEN {blank} THEN 'empty_input' ELSE 'ok' END AS status,
+       {given} {_name('harm', 'h.pred')} END AS label_hate_speech, {given} round(greatest(h.p0, h.p1, h.p2), 4) END AS confidence_hate_speech,
+       {given} {_name('veracity', 'v.pred')} END AS label_fake_news, {given} round(greatest(v.p0, v.p1), 4) END AS confidence_fake_news
+FROM harm_scored h JOIN veracity_scored v ON h.doc_id = v.doc_id JOIN sparse s ON s.doc_id = h.doc_id"""
 
     # Evaluation
     sql["eval_accuracy"] = f"""WITH {_HARM}, {_synthetic('harm', 'p')}
@@ -540,6 +566,9 @@ judged AS (SELECT h.label_id AS y_true, s.pred AS y_pred FROM held h JOIN harm_s
 {_class_figures('harm', 'judged')}
 SELECT f1_macro, accuracy FROM ({_report('hate_speech', 'judged')})"""
 
+    sql["model_roundtrip"] = f"""SELECT p.*, 1::BIGINT AS version, 1.0::DOUBLE AS alpha, 42 AS seed, e.f1_macro AS val_f1_macro, e.accuracy AS val_accuracy
+FROM ({sql['predict_harm']}) p, ({sql['eval_from_scores']}) e"""
+
     # Explanation
     sql["attribute_tokens"] = f"""{_ATTRIBUTED}
 SELECT doc_id, token, n, label, round(phi, 4) AS phi, round(margin, 4) AS margin FROM attributed"""

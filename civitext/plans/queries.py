@@ -12,11 +12,11 @@ from civitext.functions import scores as sc
 from civitext.functions import text as tx
 from civitext.operators import evaluate as ev
 from civitext.operators import explain as ex
-from civitext.operators import linear, naive_bayes, prepare, profile, selection, vocabulary
+from civitext.operators import linear, model_store, naive_bayes, prepare, profile, selection, vocabulary
 from civitext.operators import predict as pr
 from civitext.operators import split as sp
 from civitext.plans import corpora
-from civitext.session import scratch_path
+from civitext.session import materialise, scan_parts, scratch_path
 from civitext.sources import readers, writers
 from civitext.streaming import score_stream
 from civitext.tasks import HARM, VERACITY, Task
@@ -66,7 +66,7 @@ def splits_roundtrip(spark, sf_dir):
     writers.write_splits(prepared.select("doc_id", "text", "label", "label_id", "split"), path)
     parts = [readers.read_splits(spark, path, name) for name in ("train", "val", "test")]
     stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return stacked.select("doc_id", "label", "label_id", "split", F.length("text").alias("n_chars"))
+    return stacked.select("doc_id", "text", "label", "label_id", "split")
 
 
 def _datasets(spark, sf_dir) -> dict[str, DataFrame]:
@@ -134,6 +134,17 @@ def text_length_median(spark, sf_dir):
     return profile.length_median(profile.length_frequencies(_stacked(spark, sf_dir, "text")))
 
 
+@query
+def text_length_sketch(spark, sf_dir):
+    """Medians from sketches of each split, merged by dataset, and whether their rank is as near as the sketch promises."""
+    stacked = _stacked(spark, sf_dir, "split", "label", "text")
+    merged = profile.merge_sketches(profile.length_sketches(stacked, ["dataset", "split", "label"]), ["dataset"])
+    estimated = profile.sketch_quantile(merged, 0.5)
+    return profile.rank_error(estimated, profile.length_frequencies(stacked)).select(
+        "dataset", "n", (F.col("rank_error") <= profile.RANK_ERROR).alias("within_bound")
+    )
+
+
 @query
 def sample_per_class(spark, sf_dir):
     return profile.sample_per_class(corpora.harm(spark, sf_dir))
@@ -169,6 +180,8 @@ _text_query("collapse_punct", corpora.noisy, tx.collapse_punctuation)
 _text_query("collapse_ws", corpora.noisy, tx.collapse_whitespace)
 _text_query("normalise_text", corpora.sparse, tx.normalise)
 _text_query("unify_equivalents", corpora.noisy, tx.unify_equivalents)
+_text_query("strip_emoji_strict", corpora.noisy, lambda text: tx.strip_emoji(text, strict=True))
+_text_query("normalise_text_strict", corpora.sparse, lambda text: tx.normalise(text, strict_emoji=True))
 
 
 @query
@@ -196,6 +209,22 @@ def unknown_labels(spark, sf_dir):
     return prepare.unknown_labels(rows, HARM)
 
 
+@query
+def preprocess_report(spark, sf_dir):
+    counts = prepare.DropCounts()
+    prepare.preprocess(corpora.dirty(spark, sf_dir), HARM, counts=counts)
+    found = counts.dropped()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{name} long" for name in found))
+
+
+@query
+def encode_label_table(spark, sf_dir):
+    words = vocabulary.tokenise(corpora.table(spark, sf_dir, "documents"))
+    labelled = words.select("doc_id", F.concat(F.lit(" "), "token", F.lit("\t")).alias("label"))
+    encoded = prepare.encode_labels_by_table(labelled, corpora.label_words(spark, sf_dir), "words")
+    return encoded.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("label_id").cast("long")).alias("label_ids"))
+
+
 @query
 def harmonise_labels(spark, sf_dir):
     encoded = prepare.encode_labels(_stacked(spark, sf_dir, "label"), HARM)
@@ -291,6 +320,11 @@ def _model(spark, sf_dir, task: Task) -> naive_bayes.NaiveBayes:
     return _fit(_prepared(spark, sf_dir, task), task)
 
 
+def _both_tasks(spark, sf_dir) -> DataFrame:
+    """The labelled texts cleaned once for the harm and the veracity task."""
+    return prepare.preprocess_tasks(corpora.both_tasks(spark, sf_dir), {HARM.name: "harm", VERACITY.name: "veracity"})
+
+
 def _weight_rows(model: naive_bayes.NaiveBayes) -> DataFrame:
     columns = [F.round(F.col("w")[c] / naive_bayes.SCALE, 4).alias(f"w_{model.task.labels[c]}") for c in model.task.ids]
     return model.weights().table.select("token", F.col("total").alias("n"), *columns)
@@ -308,26 +342,60 @@ def nb_train_veracity(spark, sf_dir):
 
 @query
 def lr_train_score(spark, sf_dir):
+    """A fit by an optimiser has no SQL; what every scored text promises has."""
     prepared = _prepared(spark, sf_dir, HARM)
-    model = linear.fit(prepared.filter(F.col("split") == "train"))
-    scored = linear.predict(prepared.filter(F.col("split") == "test"), model, HARM)
-    return _flat(scored, HARM)
+    model = linear.fit(prepared.filter(F.col("split") == "train"), task=HARM)
+    scored = linear.predict(prepared.filter(F.col("split") == "test"), model)
+    shares = F.map_values("scores")
+    return scored.select(
+        "doc_id",
+        F.size("scores").alias("n_scores"),
+        (F.col("confidence") == F.array_max(shares)).alias("confidence_is_highest"),
+        (F.abs(F.aggregate(shares, F.lit(0.0), lambda a, b: a + b) - 1) < 2e-4).alias("sums_to_one"),
+        (F.try_element_at("scores", F.col("label")) == F.col("confidence")).alias("label_has_it"),
+    )
+
+
+@query
+def linear_roundtrip(spark, sf_dir):
+    """Train, judge, save, load: the loaded model scores every text as the fitted one does."""
+    path = scratch_path(spark, "linear-model")
+    cleaned = prepare.clean(corpora.harm(spark, sf_dir), HARM)
+    model = linear.train(materialise(cleaned, "cleaned"), HARM)
+    model.save(path)
+    loaded = linear.load(spark, path)
+    texts = cleaned.select("doc_id", "text")
+    first, second = (linear.predict(texts, m).select("doc_id", "label", "confidence", F.map_entries("scores").alias("scores")) for m in (model, loaded))
+    both = first.toDF("doc_id", "label", "confidence", "scores").join(second.toDF("doc_id", "label2", "confidence2", "scores2"), "doc_id")
+    same = (F.col("label") == F.col("label2")) & (F.col("confidence") == F.col("confidence2")) & (F.col("scores") == F.col("scores2"))
+    known = loaded.metrics == model.metrics and all(0 <= v <= 1 for v in loaded.metrics.values())
+    return both.select(
+        "doc_id",
+        same.alias("same"),
+        F.lit(",".join(sorted(loaded.metrics))).alias("metrics"),
+        F.lit(known).alias("metrics_kept"),
+        F.lit(loaded.config.seed).alias("seed"),
+        F.lit(loaded.train_rows).cast("long").alias("train_rows"),
+    )
 
 
 GRID = [selection.Candidate(a, m) for a in (0.1, 0.5, 1.0, 2.0) for m in (1, 2)]
 SCHEDULE = [selection.Candidate(a) for a in (10.0, 5.0, 2.0, 1.0, 0.5, 0.1, 0.05, 0.01)]
 
 
-def _validated(spark, sf_dir, task: Task, candidates) -> DataFrame:
-    prepared = _prepared(spark, sf_dir, task)
-    validation = prepared.filter(F.col("split") == "val")
-    return selection.evaluate_candidates(validation, _fit(prepared, task), candidates)
+def _validated(spark, sf_dir, candidates) -> dict[str, DataFrame]:
+    table = _both_tasks(spark, sf_dir)
+    models = naive_bayes.fit_tasks(table, [HARM.name, VERACITY.name])
+    validation = {t: prepare.of_task(table, t).filter(F.col("split") == "val") for t in models}
+    return {t: selection.evaluate_candidates(validation[t], m, candidates) for t, m in models.items()}
 
 
 @query
 def select_best_candidate(spark, sf_dir):
+    validated = _validated(spark, sf_dir, GRID)
+
     def marked(task: Task) -> DataFrame:
-        scored = selection.mark_best(_validated(spark, sf_dir, task, GRID))
+        scored = selection.mark_best(validated[task.name])
         rows = scored.select(F.lit(task.name).alias("task"), "*")
         return rows.withColumn("f1", F.round("f1", 4))
 
@@ -337,10 +405,10 @@ def select_best_candidate(spark, sf_dir):
 @query
 def early_stopping(spark, sf_dir):
     """The validation metric along a falling smoothing, with patience 2."""
+    validated = _validated(spark, sf_dir, SCHEDULE)
 
     def history(task: Task) -> DataFrame:
-        scored = _validated(spark, sf_dir, task, SCHEDULE)
-        return scored.select(F.lit(task.name).alias("task"), F.col("candidate").alias("step"), "f1")
+        return validated[task.name].select(F.lit(task.name).alias("task"), F.col("candidate").alias("step"), "f1")
 
     stopped = selection.early_stopping(history(HARM).unionByName(history(VERACITY)))
     return stopped.withColumns({c: F.round(c, 4) for c in ("f1", "best_so_far")})
@@ -384,9 +452,18 @@ def predict_veracity(spark, sf_dir):
 
 @query
 def model_roundtrip(spark, sf_dir):
+    """Train, judge on the validation part, save with settings and metrics, load and score."""
     path = scratch_path(spark, "model")
-    _model(spark, sf_dir, HARM).save(path)
-    return _flat(pr.predict(corpora.documents(spark, sf_dir), naive_bayes.load(spark, path)), HARM)
+    prepared = _prepared(spark, sf_dir, HARM)
+    model = _fit(prepared, HARM)
+    validation = prepared.filter(F.col("split") == "val").withColumnRenamed("label_id", "y_true")
+    judged = pr.predict(validation, model, carry=["y_true"], normalise=False)
+    report = ev.full_report(judged, _names(HARM), y_pred="label_id").first()
+    model.save(path, {"seed": 42}, {"val_f1_macro": report.f1_macro, "val_accuracy": report.accuracy})
+    stored = model_store.latest(spark, path, "naive_bayes")
+    scored = _flat(pr.predict(corpora.documents(spark, sf_dir), naive_bayes.load(spark, path)), HARM)
+    kept = {"version": F.lit(stored.number).cast("long"), "alpha": F.lit(stored.config["alpha"]), "seed": F.lit(stored.config["seed"])}
+    return scored.withColumns(kept | {k: F.lit(v) for k, v in stored.metrics.items()})
 
 
 @query
@@ -408,8 +485,8 @@ def predict_repeated_keys(spark, sf_dir):
 
 @query
 def predict_combined(spark, sf_dir):
-    models = [_model(spark, sf_dir, HARM), _model(spark, sf_dir, VERACITY)]
-    both = pr.predict_combined(corpora.documents(spark, sf_dir), models)
+    models = naive_bayes.fit_tasks(_both_tasks(spark, sf_dir), [HARM.name, VERACITY.name])
+    both = pr.predict_combined(corpora.sparse(spark, sf_dir), list(models.values()))
     return both.select(
         "doc_id",
         "status",
@@ -425,7 +502,7 @@ def stream_score(spark, sf_dir):
     model = _model(spark, sf_dir, HARM)
     stream = spark.readStream.schema(corpora.SCHEMAS["documents"]).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     output, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "stream-checkpoint")
-    score_stream(stream, model, output, checkpoint).awaitTermination()
+    score_stream(stream, model, output, checkpoint, parts=scan_parts(spark)).awaitTermination()
     return _flat(spark.read.parquet(output), HARM)
 
 
@@ -472,15 +549,15 @@ def confusion_matrix_normalised(spark, sf_dir):
 
 @query
 def compare_models(spark, sf_dir):
-    marks = ("p", "q")
-    reports = [ev.full_report(_synthetic(spark, sf_dir, m, HARM), _names(HARM), f"model_{m}") for m in marks]
-    return ev.compare_models(reports)
+    encoded = prepare.encode_labels(corpora.harm(spark, sf_dir).select("doc_id", "label"), HARM)
+    predictions = {f"model_{m}": corpora.synthetic_prediction(m, len(HARM.labels)).alias(f"y_{m}") for m in ("p", "q")}
+    judged = encoded.select(F.col("label_id").alias("y_true"), *predictions.values())
+    return ev.compare_models(ev.model_reports(judged, _names(HARM), {"model_p": "y_p", "model_q": "y_q"}))
 
 
 @query
 def eval_f1_binary(spark, sf_dir):
-    rows = _synthetic(spark, sf_dir, "p", VERACITY)
-    return ev.f1_binary(rows, 1).unionByName(ev.f1_binary(rows, 0))
+    return ev.f1_binary(_synthetic(spark, sf_dir, "p", VERACITY), (1, 0))
 
 
 @query

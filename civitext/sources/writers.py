@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from civitext.sources.readers import CSV_OPTIONS
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a corpus; like every sink here it replaces what is at ``path`` unless ``mode`` says otherwise."""
+    df.write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}).csv(path)
 
 
-def write_splits(df: DataFrame, path: str) -> None:
-    """Write one folder per split.
+def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write one folder per split, in files of the session's advisory partition size.
 
-    Each task writes its own file per split: three values are far too few to
-    shuffle on, and no split has to pass through a single task.
+    Rows are gathered by split. There are three values, but adaptive execution cuts
+    a large one into tasks of that size and joins small ones, so the number of
+    files follows the bytes and not the tasks of the input, and no split
+    passes through a single task.
     """
-    df.write.partitionBy("split").parquet(path)
+    df.hint("rebalance", "split").write.mode(mode).partitionBy("split").parquet(path)
 
 
 def dataset_manifest(datasets: dict[str, DataFrame | None]) -> DataFrame | None:
@@ -37,6 +40,6 @@ def dataset_manifest(datasets: dict[str, DataFrame | None]) -> DataFrame | None:
     return manifest
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a small report (manifest, metric record) as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode(mode).json(path)

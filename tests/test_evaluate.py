@@ -70,3 +70,23 @@ def test_models_are_ranked(spark):
     good, bad = judged(spark, [(0, 0), (1, 1), (2, 2)]), judged(spark, [(0, 1), (1, 1), (2, 2)])
     out = ev.compare_models([ev.full_report(bad, NAMES, "bad"), ev.full_report(good, NAMES, "good")]).collect()
     assert [(r.task, r.rank) for r in out] == [("good", 1), ("bad", 2)]
+
+
+def test_models_in_one_pass_equal_single_reports(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([0, 1, 2, 7, None]), rng.choice([0, 1, 2]), rng.choice([0, 2, None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "y_true int, a int, b int")
+    together = ev.model_reports(df, NAMES, {"first": "a", "second": "b"})
+    single = [ev.full_report(df, NAMES, name, y_pred=column) for name, column in (("first", "a"), ("second", "b"))]
+    assert sorted(map(tuple, together.collect())) == sorted(tuple(r.first()) for r in single)
+    assert [r.rank for r in ev.compare_models(together).collect()] == [1, 2]
+    plan = ev.compare_models(ev.model_reports(df, NAMES, {"first": "a", "second": "b"}))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+
+
+def test_binary_f1_of_several_classes_in_one_pass(spark):
+    df = judged(spark, [(1, 1), (1, 0), (0, 0), (0, 1), (1, 1)])
+    both = ev.f1_binary(df, (1, 0))
+    assert [tuple(r) for r in both.collect()] == [tuple(ev.f1_binary(df, c).first()) for c in (1, 0)]
+    plan = ev.f1_binary(df, (1, 0))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1

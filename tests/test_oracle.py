@@ -7,7 +7,6 @@ from civitext import plans
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"lr_train_score"}
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +14,8 @@ def con():
     return connect(SF_DIR)
 
 
-def test_only_the_iterative_fit_has_no_sql():
-    assert set(plans.queries()) - set(plans.oracle_sql()) == WITHOUT_SQL
-    assert set(plans.oracle_sql()) <= set(plans.queries())
+def test_every_query_has_sql():
+    assert set(plans.queries()) == set(plans.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
@@ -25,13 +23,6 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, SF_DIR, name) == []
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_without_sql_covers_the_test_part(spark, name):
-    scored = plans.queries()[name](spark, SF_DIR)
-    held = plans.queries()["stratified_split"](spark, SF_DIR).filter("split = 'test'")
-    assert {r.doc_id for r in scored.collect()} == {r.doc_id for r in held.collect()}
-
-
 def test_entry(spark):
     row = entry_module.entry(spark).first()
     assert row.task == "hate_speech" and 0 <= row.f1_macro <= 1

@@ -51,3 +51,21 @@ def test_coverage(spark):
     out = {r.label: tuple(r)[1:] for r in profile.script_coverage(df, "label").collect()}
     # rows 0, 2, 4 are "a"; row 1 is "b"; row 3 has no text
     assert out == {"a": (3, 8, 5, 0.625, 3), "b": (1, 3, 0, 0.0, 0)}
+
+
+def test_sketches_of_parts_merge_to_the_whole(spark):
+    rng = random.Random(21)
+    rows = [("d", rng.choice("ab"), rng.choice(["x", "y", "z"]), "w" * int(rng.paretovariate(1.1) * 20 % 5000)) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "dataset string, split string, label string, text string")
+    parts = profile.length_sketches(df, ["dataset", "split", "label"])
+    assert parts.count() == 6 and sum(r.n for r in parts.collect()) == 6000
+    for share in (0.1, 0.5, 0.9):
+        for by in (["dataset"], ["dataset", "split"]):
+            estimated = profile.sketch_quantile(profile.merge_sketches(parts, by), share)
+            for r in estimated.collect():
+                own = sorted(len(t) for d, s, _, t in rows if "split" not in by or s == r.split)
+                low, high = (sum(test(n) for n in own) / len(own) for test in (lambda n: n < r.length, lambda n: n <= r.length))  # noqa: B023
+                assert low - profile.RANK_ERROR <= share <= high + profile.RANK_ERROR and r.n == len(own)
+    estimated = profile.sketch_quantile(profile.merge_sketches(parts, ["dataset"]), 0.5)
+    assert profile.rank_error(estimated, profile.length_frequencies(df)).first().rank_error <= profile.RANK_ERROR
+    assert profile.merge_sketches(profile.length_sketches(df.limit(0), ["dataset"]), ["dataset"]).count() == 0

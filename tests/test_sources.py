@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from civitext.session import scratch_path
@@ -67,3 +68,32 @@ def test_manifest_leaves_out_what_is_empty(spark, corpus):
     writers.write_json(manifest, path)
     lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
     assert lines == [{"dataset": "a", "rows": 8, "columns": ["doc_id", "text", "label", "split"]}]
+
+
+def test_files_of_splits_follow_bytes_and_not_tasks(spark, corpus):
+    path = scratch_path(spark, "many-tasks")
+    rows = spark.range(0, 20000, 1, 200).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"), F.lit("hate").alias("label"), F.lit(0).alias("label_id"))
+    split = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "val").otherwise("test")
+    writers.write_splits(rows.withColumn("split", split), path)
+    back = readers.read_splits(spark, path)
+    assert back.count() == 20000 and len(back.inputFiles()) <= 8
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:  # a split larger than a file of that size is cut
+        writers.write_splits(rows.withColumn("split", split), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert readers.read_splits(spark, path).count() == 20000
+    assert len([f for f in readers.read_splits(spark, path).inputFiles() if "split=train" in f]) > 2
+
+
+def test_sinks_replace_or_refuse(spark, corpus):
+    path = scratch_path(spark, "twice")
+    encoded = corpus.withColumn("label_id", F.lit(0)).select("doc_id", "text", "label", "label_id", "split")
+    for write, rows, read in ((writers.write_csv, corpus, readers.read_csv), (writers.write_splits, encoded, readers.read_splits)):
+        own = f"{path}/{write.__name__}"
+        write(rows, own)
+        write(rows.limit(2), own)
+        assert read(spark, own).count() == 2
+        with pytest.raises(AnalysisException):
+            write(rows, own, mode="error")
+        assert read(spark, own).count() == 2

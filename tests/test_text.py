@@ -110,3 +110,11 @@ def test_equivalents(spark):
 def test_blank_and_near_empty(spark):
     assert run(spark, tx.is_blank, [None, "", " \t\u00a0\u3000", "x", " ."]) == [True, True, True, False, False]
     assert run(spark, tx.is_near_empty, ["", "ab", "abc", "ሰላም"]) == [True, True, False, False]
+
+
+def test_strict_emoji_keeps_scripts_and_takes_new_emoji(spark):
+    kept = ["漢字 かな 한글 ⶀ ꬁ Ⓜ", "ሰላም ዓለም!", "→ ① ™ ©"]
+    assert run(spark, lambda c: tx.strip_emoji(c, strict=True), kept) == kept
+    gone = ["a🤣b", "a👍🏽b", "a👩\u200d🚀b", "a❤\ufe0fb", "a🇪🇹b", "a☀✂b", "a🟠b"]
+    assert run(spark, lambda c: tx.strip_emoji(c, strict=True), gone) == ["a b"] * len(gone)
+    assert run(spark, lambda c: tx.normalise(c, strict_emoji=True), ["漢字 😊🤣 ok"]) == ["漢字 ok"]
