@@ -138,7 +138,43 @@ def test_search_ties_nulls_repeats_and_few_rows(spark):
 def test_scan_abandons_most_candidates_early():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2000, 64))
-    q = ann.prepare(x[:1])
     exact = np.sort(x[1:] @ x[0])[::-1]
-    at, score, full = ann.scan(np.arange(2000), ann.prepare(x), 0, (q[0][0], q[1][0], q[2][0]), exact[40])
-    assert np.allclose(score, exact[:20]) and full < 100
+    for least in (exact[40], -np.inf):
+        query, ids, score, full = ann.scan(np.arange(2000), ann.prepare(x), np.array([0]), ann.prepare(x[:1]), np.array([least]))
+        assert np.allclose(score, exact[:20]) and (query == 0).all() and np.allclose(x[ids] @ x[0], score)
+        assert full < (100 if np.isfinite(least) else ann.CHUNK + 200)  # without a start, all of the first chunk
+
+
+def test_equal_scores_across_chunks_go_by_id():
+    x = np.tile([[1.0, 2.0]], (3000, 1))
+    ids = np.random.default_rng(5).permutation(3000)
+    query, found, _, _ = ann.scan(ids, ann.prepare(x), np.array([7, -1]), ann.prepare(x[:2]), np.full(2, -np.inf))
+    assert found[query == 0].tolist() == [i for i in range(21) if i != 7] and found[query == 1].tolist() == list(range(20))
+
+
+def spread_out(seed, norms):
+    """20,000 rows in 300 clusters, more than the sample of the index."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(300, 64))
+    if norms:
+        centres *= rng.lognormal(0, 0.7, size=(300, 1))
+    return centres[rng.integers(300, size=20_000)] + rng.normal(size=(20_000, 64)) * 0.3
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_recall_beyond_the_sample(spark, norms):
+    x = np.float32(spread_out(6, norms))
+    rows = [(i, v, 0, -1, "x") for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, SCHEMA + ", list int, query string").repartition(8)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    x = x.astype(np.float64)
+    queries = np.arange(0, 20_000, 20)
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    best = np.argsort(-scores, 1)[:, :20]
+    assert sorted(got) == queries.tolist() and all([m[0] for m in sorted(g)] == list(range(1, 21)) for g in got.values())
+    met = [len(set(best[i]) & {m[1] for m in got[q]}) for i, q in enumerate(queries.tolist())]
+    assert sum(met) >= 0.95 * 20 * len(queries)
+    assert all(abs(m[2] - x[q] @ x[m[1]]) < 1e-9 for q in (0, 20, 400) for m in got[q])
