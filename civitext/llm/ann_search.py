@@ -15,8 +15,9 @@ plus ``SURE`` standard deviations of what is left (a random direction after the
 rotation) stays below the query's threshold; survivors are computed in full from
 the original vectors. A query's threshold starts at its 2k-th best among the
 sample rows of the lists that it visits (at nothing, if those are fewer) and rises
-to the k-th best found as a task goes through its rows, so it is never above the
-k-th best of the visited lists.
+to the k-th best found as a task goes through its rows. Each query makes its most
+promising visits first, and starts the others at the k-th best of those. A
+threshold is thus never above the k-th best of the visited lists.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ from civitext.session import materialise
 
 K, EVERY = 20, 20
 #: Rows that the lists are fitted on, least and most, and sample rows of a list.
-SAMPLE, MOST_SAMPLE, OF_LIST = 4096, 1 << 16, 8
-#: Queries whose true nearest decide how many lists to visit.
-JUDGES = 256
+SAMPLE, MOST_SAMPLE, OF_LIST = 1 << 14, 1 << 16, 8
+#: Queries whose true nearest decide how many lists to visit; the share of its visits that a query makes first.
+JUDGES, FIRST = 256, 8
 RECALL, SURE = 0.98, 4.0
 #: Columns compared at once; vectors and queries of a task; vectors between two rises of the threshold.
 COLUMNS, BLOCK, CHUNK = 16, 4096, 512
@@ -302,8 +303,20 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOC
     asked = rows.filter(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id")
     asked = asked.withColumn("query", F.xxhash64("query_id", "vector"))
     visits = asked.mapInArrow(_visit(share(index)), "query_id long, vector array<double>, query long, lists array<int>, least double")
-    visits = materialise(visits, "ann-queries").withColumn("list", F.explode("lists")).drop("lists")
-    # a list with its visitors is one task for each block of rows and block of queries
+    visits = materialise(visits, "ann-queries").select("*", F.posexplode("lists").alias("place", "list")).drop("lists")
+    early = F.col("place") * FIRST < index.visits
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    first = materialise(ranked(_looked(placed, visits.filter(early).drop("place"), block, k, sure)), "ann-first")
+    reached = first.filter(F.col("rank") == k).select("query", F.col("score").alias("reached"))
+    late = visits.filter(~early).drop("place").join(reached, "query", "left")
+    late = late.withColumn("least", F.greatest("least", F.coalesce("reached", "least"))).drop("reached")
+    found = first.drop("rank").unionByName(_looked(placed, late, block, k, sure))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
+
+
+def _looked(placed: DataFrame, visits: DataFrame, block: int, k: int, sure: float) -> DataFrame:
+    """What the queries find: one task for each block of rows of a list and block of its visitors."""
     sizes = placed.groupBy("list").agg(F.count("*").alias("rows")).join(visits.groupBy("list").agg(F.count("*").alias("queries")), "list")
     sizes = sizes.select("list", F.ceil(F.col("rows") / block).alias("row_blocks"), F.ceil(F.col("queries") / block).alias("query_blocks"))
 
@@ -313,9 +326,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, block: int = BLOC
 
     left = blocks(placed, F.xxhash64("vec_id"), "row_block", "query_block").groupBy("list", "row_block", "query_block")
     right = blocks(visits, F.xxhash64("query"), "query_block", "row_block").groupBy("list", "row_block", "query_block")
-    found = left.cogroup(right).applyInArrow(_scan_block(k, sure), "query long, query_id long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.cogroup(right).applyInArrow(_scan_block(k, sure), "query long, query_id long, vec_id long, score double")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
