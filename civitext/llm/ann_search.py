@@ -10,10 +10,12 @@ among all rows, so that ``RECALL`` of these are met; a query whose lists
 hold too few rows visits more.
 
 Within a list, vectors are turned by a seeded rotation and compared in blocks of
-columns. After each block a candidate is abandoned if its partial inner product
-plus ``SURE`` standard deviations of what is left (a random direction after the
-rotation) stays below the query's threshold; survivors are computed in full from
-the original vectors. A query's threshold starts at its 2k-th best among the
+columns. A threshold on the inner product is one on the distance of query and
+candidate. After a random rotation the first m of D columns hold about m / D of
+their squared distance, with a known variance, whatever the vectors are. After
+each block a candidate is abandoned if its partial distance is too large by
+``SURE`` standard deviations for a whole distance within the threshold; survivors
+are computed in full from the original vectors. A query's threshold starts at its 2k-th best among the
 sample rows of the lists that it visits (at nothing, if those are fewer) and rises
 to the k-th best found as a task goes through its rows. Each query makes its most
 promising visits first, and starts the others at the k-th best of those. A
@@ -187,12 +189,15 @@ def _visit(shared):
 
 
 def prepare(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors, the same turned, and the lengths of what is left after each block of columns."""
+    """Vectors, the same turned, and the squared length of the columns up to the end of each block."""
     turned = x @ rotation(x.shape[1], 0).T
-    squares = np.cumsum((turned * turned)[:, ::-1], 1)[:, ::-1]
-    ends = np.arange(COLUMNS, x.shape[1] + COLUMNS, COLUMNS)
-    left = np.stack([np.sqrt(squares[:, e]) if e < x.shape[1] else np.zeros(len(x)) for e in ends], 1)
-    return x, turned, left
+    ends = np.minimum(np.arange(COLUMNS, x.shape[1] + COLUMNS, COLUMNS), x.shape[1])
+    return x, turned, np.cumsum(turned * turned, 1)[:, ends - 1]
+
+
+def share_bound(seen: int, width: int, sure: float = SURE) -> float:
+    """The largest share of a squared distance that its first ``seen`` of ``width`` turned columns may hold without doubt."""
+    return min(1.0, seen / width + sure * np.sqrt(2 * seen * (width - seen) / (width**2 * (width + 2))))
 
 
 def live_pairs(x: tuple, q: tuple, least: np.ndarray, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
@@ -201,23 +206,25 @@ def live_pairs(x: tuple, q: tuple, least: np.ndarray, sure: float = SURE) -> tup
     While many pairs are alive a block of columns is a product of matrices,
     and then a sum over the list of pairs.
     """
-    (_, turned, left), (_, query, query_left) = x, q
+    (_, turned, squares), (_, query, query_squares) = x, q
     d, rows = turned.shape[1], None
-    low = least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))  # rounding of the rotation
+    # room for the rounding of the rotation
+    low = least - 1e-9 * (squares[:, -1].max(initial=0) + query_squares[:, -1] + np.abs(np.where(np.isfinite(least), least, 0)))
     part = np.zeros((len(turned), len(query)))
     for b, at in enumerate(range(0, d, COLUMNS)):
         one, two = turned[:, at : at + COLUMNS], query[:, at : at + COLUMNS]
-        rest = d - at - COLUMNS
-        scale = sure / np.sqrt(rest) if rest > 0 else 0.0
+        most = share_bound(min(at + COLUMNS, d), d, sure)
+        # |x - q|^2 over the columns seen <= most * (|x|^2 + |q|^2 - 2 low), solved for the product
+        of_row, of_query = (squares[:, b] - most * squares[:, -1]) / 2, (query_squares[:, b] - most * (query_squares[:, -1] - 2 * low)) / 2
         if rows is None:
             part += one @ two.T
-            alive = part + scale * left[:, b, None] * query_left[None, :, b] >= low
-            if alive.sum() < DENSE * alive.size or rest <= 0:
+            alive = part >= of_row[:, None] + of_query
+            if alive.sum() < DENSE * alive.size or at + COLUMNS >= d:
                 rows, queries = np.nonzero(alive)
                 part = part[rows, queries]
         else:
             part = part + (one[rows] * two[queries]).sum(1)
-            alive = part + scale * left[rows, b] * query_left[queries, b] >= low[queries]
+            alive = part >= of_row[rows] + of_query[queries]
             rows, queries, part = rows[alive], queries[alive], part[alive]
     return rows, queries
 

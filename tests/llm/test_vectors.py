@@ -145,6 +145,22 @@ def test_scan_abandons_most_candidates_early():
         assert full < (100 if np.isfinite(least) else ann.CHUNK + 200)  # without a start, all of the first chunk
 
 
+def test_tests_keep_near_candidates():
+    """Vectors that agree in direction, for which the rest of a product is far from that of random directions."""
+    rng = np.random.default_rng(14)
+    centre = rng.normal(size=64)
+    x = centre * rng.uniform(0.5, 2, size=(4000, 1)) + rng.normal(size=(4000, 64)) * 0.2
+    exact = np.sort(x[1:] @ x[0])[::-1]
+    query, ids, score, full = ann.scan(np.arange(4000), ann.prepare(x), np.array([0]), ann.prepare(x[:1]), np.array([exact[25]]))
+    assert np.allclose(score, exact[:20]) and full < 400
+    gone = 0
+    for _ in range(200):
+        turned = ann.rotation(64, int(rng.integers(1 << 30))) @ (x[1] - x[2])
+        squares = np.cumsum(turned * turned)
+        gone += any(squares[m - 1] > ann.share_bound(m, 64) * squares[-1] * (1 + 1e-9) for m in (16, 32, 48, 64))
+    assert gone == 0
+
+
 def test_equal_scores_across_chunks_go_by_id():
     x = np.tile([[1.0, 2.0]], (3000, 1))
     ids = np.random.default_rng(5).permutation(3000)
