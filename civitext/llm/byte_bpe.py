@@ -10,11 +10,14 @@ Words repeat, so they are folded once where that pays:
 1. The words of all texts are counted, and those counted most (at most
    ``DICTIONARY`` words of at most ``WORD_BYTES`` bytes) are folded once. Their
    ids are broadcast: the bound is about 30 bytes for each word.
-2. A scan cuts each text into words and takes known ones from this dictionary.
-   The distinct other words of a slice of texts are folded in place.
+2. A scan cuts each text into words, and writes the ids of known ones from this
+   dictionary. The distinct other words of a slice of texts are folded in place.
 3. The ids of each text are put together, and decoded by joining the bytes of
    their tokens.
 
+The pattern cuts where the class of characters changes, with rules for white space
+and contractions; :func:`cut_words` applies it to all characters of a slice at once.
+
 The dictionary saves work and decides nothing: any word gets the same ids on
 either way. Words of over ``LONG`` bytes would make the fold quadratic; they
 are merged with a heap in the scan, by the same rule.
@@ -31,6 +34,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +45,10 @@ from civitext.session import materialise
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 DICTIONARY, WORD_BYTES = 1 << 21, 64
 LONG = 256
-SLICE = 4 << 20
-_BUCKETS, _FACTOR, _NONE, _EDGE = 1 << 15, 40503, 1 << 17, (1 << 16) - 1
+SLICE = 2 << 20
+#: As many buckets as ids: with one factor, a bucket and a left id leave one right id.
+_BUCKETS, _FACTOR, _NONE, _EDGE = 1 << 16, 40503, 1 << 17, (1 << 16) - 1
+_SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 
 
 @cache
@@ -65,11 +71,11 @@ def pairs(path: str) -> dict[tuple[int, int], int]:
 
 
 def _rank_map(path: str) -> Column:
-    """Buckets of the pairs' ranks as one literal: ``none, key, rank, key, rank, ...`` each; keys are negative."""
+    """Buckets of the pairs' ranks as one literal: ``none, key, rank, key, rank, ...`` each; a key is -1 - the left id."""
     buckets = [[_NONE] for _ in range(_BUCKETS)]
     for (a, b), rank in pairs(path).items():
-        buckets[(a * _FACTOR + b) % _BUCKETS] += [-1 - (a << 16) - b, rank]
-    return F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+        buckets[(a * _FACTOR + b) % _BUCKETS] += [-1 - a, rank]
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<int>>")
 
 
 def _let(value: Column, use) -> Column:
@@ -78,18 +84,18 @@ def _let(value: Column, use) -> Column:
 
 
 def fold_word(word: Column, path: str) -> Column:
-    """The ids of a word as ``array<bigint>``; the rank map is in the plan once."""
+    """The ids of a word as ``array<int>``; the rank map is in the plan once."""
     return _let(_rank_map(path), lambda table: _fold(word, table, path))
 
 
 def _fold(word: Column, table: Column, path: str) -> Column:
-    single = F.array(*(F.lit(ranks(path)[bytes([b])]).cast("bigint") for b in range(256)))
-    edge, rest = F.lit(_EDGE).cast("bigint"), F.lit(1 << 30)
+    single = F.array(*(F.lit(ranks(path)[bytes([b])]) for b in range(256)))
+    edge, rest, factor = F.lit(_EDGE), F.lit(1 << 30), F.lit(_FACTOR).cast("bigint")
 
     def rank(a: Column, b: Column) -> Column:
         # an absent key has position 0, which leads to the bucket's first entry
-        bucket = F.element_at(table, ((a * _FACTOR + b) % _BUCKETS + 1).cast("int"))
-        return _let(bucket, lambda x: F.element_at(x, (F.array_position(x, -1 - a * (1 << 16) - b) + 1).cast("int")))
+        bucket = F.element_at(table, ((a * factor + b) % _BUCKETS + 1).cast("int"))
+        return _let(bucket, lambda x: F.element_at(x, (F.array_position(x, -1 - a) + 1).cast("int")))
 
     raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character for each byte
     n = F.octet_length(word)
@@ -152,15 +158,13 @@ class _Dictionary:
         order = np.argsort(hashes)
         starts = np.cumsum(n, dtype=np.int64) - n
         self.hashes, self.n = hashes[order], n[order]
-        self.at = np.cumsum(self.n, dtype=np.int64) - self.n
+        self.at = (np.cumsum(self.n, dtype=np.int64) - self.n).astype(np.uint32)
         self.ids = _gather(ids, starts[order], self.n.astype(np.int64))
 
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is known, and its place."""
-        data, bounds = ta.utf8(pa.array(words, pa.string()))
-        if not len(self.hashes) or not words:
-            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
-        hashes = ta.hash_words(data, bounds[:-1], bounds[1:])
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return self.hashes[place] == hashes, place
 
@@ -170,40 +174,111 @@ def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in lists for i in x], np.uint16), n
 
 
+@cache
+def _classes() -> np.ndarray:
+    """White space, letter, number or other for each code point, as the pattern's own classes say; the last entry ends a text."""
+    out = np.full(0x110001, _OTHER, np.uint8)
+    out[-1] = _END
+    points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+        out[[ord(c) for c in regex.findall(pattern, points)]] = kind
+    return out
+
+
+def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of the texts end to end, start and end byte of each word, and the words of each text.
+
+    The words are those of ``public_tokenizers.PATTERN``: runs of letters, of numbers
+    and of other characters, each with one space before it; contractions; runs
+    of white space, of which the last character stays apart if a word follows.
+    """
+    raw = "".join(texts).encode()
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    points = np.full(int(ends[-1]) if len(ends) else 0, 0x110000, np.uint32)
+    inside = np.ones(len(points), bool)
+    inside[ends - 1] = False
+    points[inside] = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    kind = _classes()[points]
+    before = np.concatenate(([_END], kind[:-1])).astype(np.uint8)
+    after = np.concatenate((kind[1:], [_END])).astype(np.uint8)
+    space = kind == _SPACE
+    blank = points == 32
+    joined = np.concatenate(([False], blank[:-1]))  # the space before belongs to the word
+    head = (kind != before) & (kind != _END)
+    head &= space | ~joined
+    # the last white space before a word starts anew
+    head |= space & (after != _SPACE) & (after != _END)
+    # contractions: an apostrophe by itself, not after a space, and its letters
+    quote = np.flatnonzero((points == 39) & (before != _OTHER) & (after == _LETTER) & ~joined)
+    if len(quote):
+        padded = np.concatenate((points, np.full(2, 0x110000, np.uint32)))
+        one, two = padded[quote + 1], padded[quote + 2]
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, 0)
+        for pair in ("re", "ve", "ll"):
+            size[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+        quote, size = quote[size > 0], size[size > 0]
+        head[quote + 1] = False
+        rest = quote + 1 + size
+        head[rest[kind[rest] == _LETTER]] = True
+    width = np.where(points < 0x110000, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), 0).astype(np.int32)
+    offset = np.cumsum(width, dtype=np.int64) - width
+    at = np.flatnonzero(head)
+    starts = offset[at]
+    stops = np.append(starts[1:], len(raw))[: len(starts)]
+    counts = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+    return np.frombuffer(raw, np.uint8), starts, stops, counts
+
+
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, hash, start and stop of each distinct word of a slice; the distinct word of each word; the words of each text."""
+    data, starts, stops, counts = cut_words(pc.fill_null(texts, "").to_pylist())
+    hashes, place, word = np.unique(ta.hash_words(data, starts, stops), return_index=True, return_inverse=True)
+    return data, hashes, starts[place], stops[place], word, counts
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each slice that the dictionary may take, with their counts."""
+    for batch in ta.slices(batches, "text", SLICE):
+        data, _, starts, stops, word, _ = _distinct(batch.column("text"))
+        short = np.flatnonzero(stops - starts <= WORD_BYTES)
+        n = np.bincount(word, minlength=len(starts))[short]
+        size = (stops - starts)[short]
+        words = _binary(_gather(data, starts[short], size), size).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
+
+
 def _cut(path: str, dictionary, columns: list[str]):
-    """A slice of texts as word numbers, the ids of its known words, and its words still to fold."""
-    pattern = regex.compile(public_tokenizers.PATTERN)
+    """A slice of texts as word numbers, the ids of its known and long words, and its words still to fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dictionary.value
         for batch in ta.slices(batches, "text", SLICE):
-            numbers: dict[str, int] = {}
-            words, n = [], []
-            for text in batch.column("text").to_pylist():
-                found = pattern.findall(text or "")
-                words.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found)))
-                n.append(len(found))
-            distinct = list(numbers)
-            hit, place = known.find(distinct)
-            size = np.where(hit, known.n[place] if len(known.n) else 0, 0).astype(np.int64)
-            long = {i: merge_long(distinct[i].encode(), path) for i in np.flatnonzero(~hit) if len(distinct[i]) > LONG // 4 and len(distinct[i].encode()) > LONG}
-            folded = [i for i in np.flatnonzero(~hit) if i not in long]
+            data, hashes, starts, stops, word, counts = _distinct(batch.column("text"))
+            hit, place = known.find(hashes)
+            n = np.where(hit, known.n[place] if len(known.n) else 0, 0).astype(np.int64)
+            ids = _gather(known.ids, known.at[place[hit]].astype(np.int64), n[hit]) if hit.any() else np.zeros(0, np.uint16)
+            left, large = ~hit, stops - starts > LONG
+            of = lambda i: data[starts[i] : stops[i]].tobytes()  # noqa: B023, E731
+            long_ids, long_n = _flat([merge_long(of(i), path) for i in np.flatnonzero(left & large)])
+            folded = np.flatnonzero(left & ~large)
+            # distinct words in the order of their ids: known, long, folded
+            order = np.concatenate([np.flatnonzero(hit), np.flatnonzero(left & large), folded])
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order), dtype=np.int32)
             kept = pa.table({c: batch.column(c) for c in columns})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kept.schema) as out:
                 out.write_table(kept)
-            long_ids, long_n = _flat(list(long.values()))
             row = {
-                "words": np.concatenate([np.zeros(0, np.int32), *words]).tobytes(), "n": np.array(n, np.int64).tobytes(), "place": np.where(hit, place, -1).astype(np.int64).tobytes(),
-                "folds": np.array(folded, np.int64).tobytes(), "long": np.array(list(long), np.int64).tobytes(), "long_ids": long_ids.tobytes(), "long_n": long_n.tobytes(),
-                "kept": sink.getvalue().to_pybytes(), "fold": [distinct[i] for i in folded],
+                "words": number[word].tobytes(), "n": counts.astype(np.int64).tobytes(), "sizes": np.concatenate([n[hit], long_n]).tobytes(),
+                "known": np.concatenate([ids, long_ids]).tobytes(), "kept": sink.getvalue().to_pybytes(), "fold": [of(i).decode() for i in folded],
             }
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([*((k, pa.binary()) for k in list(row)[:-1]), ("fold", pa.list_(pa.string()))]))
 
     return run
 
 
-_CUT = "words binary, n binary, place binary, folds binary, long binary, long_ids binary, long_n binary, kept binary, fold array<string>"
+_CUT = "words binary, n binary, sizes binary, known binary, kept binary, fold array<string>"
 
 
 def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -211,42 +286,31 @@ def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _assemble(path: str, dictionary):
+def _assemble(path: str):
     """The ids of each text as little-endian 32-bit integers, and the bytes that they stand for."""
-    pieces = sorted(ranks(path), key=ranks(path).get)
-    piece_n = np.array([len(p) for p in pieces], np.int64)
-    piece_at, piece_bytes = np.cumsum(piece_n) - piece_n, np.frombuffer(b"".join(pieces), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dictionary.value
+        pieces = sorted(ranks(path), key=ranks(path).get)
+        piece_n = np.array([len(p) for p in pieces], np.int64)
+        piece_at, piece_bytes = np.cumsum(piece_n) - piece_n, np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda c, t: np.frombuffer(batch.column(c)[k].as_py(), t)  # noqa: B023, E731
-                place, words, n = get("place", np.int64), get("words", np.int32), get("n", np.int64)
-                with pa.ipc.open_stream(batch.column("kept")[k].as_py()) as stream:
+                get = lambda c, t: np.frombuffer(batch.column(c)[k].as_buffer(), t)  # noqa: B023, E731
+                words, n = get("words", np.int32), get("n", np.int64)
+                with pa.ipc.open_stream(batch.column("kept")[k].as_buffer()) as stream:
                     kept = stream.read_all().combine_chunks()
                 folded = batch.column("coded")[k].values
-                values = [known.ids, folded.flatten().to_numpy(zero_copy_only=False).astype(np.uint16) if folded is not None else np.zeros(0, np.uint16), get("long_ids", np.uint16)]
-                starts, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                hit = place >= 0
-                starts[hit], size[hit] = known.at[place[hit]], known.n[place[hit]]
-                fold_n = np.diff(folded.offsets.to_numpy()) if folded is not None else np.zeros(0, np.int64)
-                at = len(known.ids)
-                for which, own_n, flat in (("folds", fold_n, values[1]), ("long", get("long_n", np.int64), values[2])):
-                    own = get(which, np.int64)
-                    size[own], starts[own] = own_n, at + np.cumsum(own_n) - own_n
-                    at += len(flat)
+                fold_ids = folded.flatten().to_numpy(zero_copy_only=False).astype(np.uint16) if folded is not None else np.zeros(0, np.uint16)
+                fold_n = folded.value_lengths().to_numpy(zero_copy_only=False) if folded is not None else np.zeros(0, np.int64)
+                size = np.concatenate([get("sizes", np.int64), fold_n])
                 # ids of the slice's distinct words first, then of the words in order
-                stops = np.cumsum(size)
-                distinct = _gather(np.concatenate(values), starts, size)
-                ids = _gather(distinct, (stops - size)[words], size[words]).astype("<u4")
-                firsts = np.concatenate(([0], np.cumsum(n)))
-                by_word = np.concatenate(([0], np.cumsum(size[words])))
-                cuts = by_word[firsts]
+                ids = _gather(np.concatenate([get("known", np.uint16), fold_ids]), (np.cumsum(size) - size)[words], size[words])
+                cuts = np.concatenate(([0], np.cumsum(size[words])))[np.concatenate(([0], np.cumsum(n)))]
                 decoded = _gather(piece_bytes, piece_at[ids], piece_n[ids])
                 ends = np.concatenate(([0], np.cumsum(piece_n[ids])))[cuts]
                 arrays = [kept.column(c).combine_chunks() if kept.column(c).num_chunks != 1 else kept.column(c).chunk(0) for c in kept.column_names]
-                yield pa.RecordBatch.from_arrays([*arrays, _binary(ids.view(np.uint8), 4 * np.diff(cuts)), _binary(decoded, np.diff(ends))], names=[*kept.column_names, "ids", "decoded"])
+                wide = ids.astype("<u4").view(np.uint8)
+                yield pa.RecordBatch.from_arrays([*arrays, _binary(wide, 4 * np.diff(cuts)), _binary(decoded, np.diff(ends))], names=[*kept.column_names, "ids", "decoded"])
 
     return run
 
@@ -262,9 +326,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequent(docs: DataFrame, path: str, most: int) -> _Dictionary:
     """The ids of the words counted most, folded once each."""
-    pattern = F.lit("(?U)" + public_tokenizers.PATTERN)
-    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), pattern, F.lit(0))).alias("word"))
-    counted = materialise(words.groupBy("word").count().filter(F.octet_length("word").between(1, WORD_BYTES)), "bpe-words")
+    words = docs.mapInArrow(_count, "word string, n long")
+    counted = materialise(words.groupBy("word").agg(F.sum("n").alias("count")), "bpe-words")
     # the smallest count that keeps the dictionary within its bound
     counts = counted.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count"))
     total, least = 0, None
@@ -276,7 +339,7 @@ def _frequent(docs: DataFrame, path: str, most: int) -> _Dictionary:
     picked = counted.filter(F.col("count") >= (least if least is not None else 1 << 62)).select("word")
     # a word is about a hundred microseconds of work: many small tasks
     tasks = max(1, min(4096, total // 20000 + 1))
-    coded = picked.repartition(tasks).select("word", F.transform(fold_word(F.col("word"), path), lambda i: i.cast("int")).alias("ids"))
+    coded = picked.repartition(tasks).select("word", fold_word(F.col("word"), path).alias("ids"))
     rows = materialise(coded.mapInArrow(_hashed, "hashes binary, n binary, ids binary"), "bpe-dictionary").collect()
     arrays = [np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.uint8, np.uint16))]
     return _Dictionary(*arrays)
@@ -297,7 +360,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DIC
     fold = _let(_rank_map(path), lambda table: F.transform("fold", lambda w: _fold(w, table, path)))
     coded = cut.withColumn("coded", fold).drop("fold")
     schema = docs.drop("text").withColumns({"ids": F.lit(b""), "decoded": F.lit(b"")}).schema
-    return coded.mapInArrow(_assemble(path, known), schema)
+    return coded.mapInArrow(_assemble(path), schema)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from civitext.llm import byte_bpe as bb
@@ -33,6 +34,19 @@ def test_equals_the_library_and_round_trips(spark, dictionary):
     assert got == sorted((str(i), ids_of(t), (t or "").encode()) for i, t, *_ in rows)
 
 
+def test_words_are_those_of_the_pattern():
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    pick = random.Random(8)
+    pool = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "'", "'s", "'re", "'ll", "'d", "'S", "s", "re", "l", "é", "漢", "7", "٣", "½", "!", "...", "😀", "\u0301", "\x00", "a", "\r\n", "\x85", "\x1f"]
+    texts = ["".join(pick.choice(pool) for _ in range(pick.randrange(14))) for _ in range(6000)] + ["", "'s", " 's", "x's y'all ''t 'sad 're", "a  b", "a \n b", "  ", "\n'm"]
+    data, starts, stops, counts = bb.cut_words(texts)
+    got = [data[a:b].tobytes().decode() for a, b in zip(starts, stops)]
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    for text, a, b in zip(texts, cuts[:-1], cuts[1:]):
+        assert got[a:b] == pattern.findall(text), text
+    assert [len(x) for x in bb.cut_words([])] == [0, 0, 0, 0]
+
+
 def test_empty_table(spark):
     assert bb.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
