@@ -45,7 +45,7 @@ from civitext.session import materialise
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 DICTIONARY, WORD_BYTES = 1 << 21, 64
 LONG = 256
-SLICE = 2 << 20
+SLICE = 1 << 18
 #: As many buckets as ids: with one factor, a bucket and a left id leave one right id.
 _BUCKETS, _FACTOR, _NONE, _EDGE = 1 << 16, 40503, 1 << 17, (1 << 16) - 1
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
@@ -179,9 +179,10 @@ def _classes() -> np.ndarray:
     """White space, letter, number or other for each code point, as the pattern's own classes say; the last entry ends a text."""
     out = np.full(0x110001, _OTHER, np.uint8)
     out[-1] = _END
-    points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
-        out[[ord(c) for c in regex.findall(pattern, points)]] = kind
+    for block in range(0, 0x110000, 1 << 12):  # few characters at a time: what a worker once took stays with it
+        points = "".join(chr(c) for c in range(block, block + (1 << 12)) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+            out[[ord(c) for c in regex.findall(pattern, points)]] = kind
     return out
 
 
@@ -220,10 +221,11 @@ def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         head[quote + 1] = False
         rest = quote + 1 + size
         head[rest[kind[rest] == _LETTER]] = True
-    width = np.where(points < 0x110000, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), 0).astype(np.int32)
-    offset = np.cumsum(width, dtype=np.int64) - width
+    width = (points < 0x110000).astype(np.uint8)
+    for limit in (0x7F, 0x7FF, 0xFFFF):
+        width += (points > limit) & inside
     at = np.flatnonzero(head)
-    starts = offset[at]
+    starts = (np.cumsum(width, dtype=np.int64) - width)[at]
     stops = np.append(starts[1:], len(raw))[: len(starts)]
     counts = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
     return np.frombuffer(raw, np.uint8), starts, stops, counts
