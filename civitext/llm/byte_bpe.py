@@ -1,8 +1,9 @@
 """Byte-level BPE with Spark's higher-order functions, without a tokenizer library.
 
-The merges of a word are a fold: ``aggregate`` carries the word's ids and the
-ranks of its neighbouring pairs, joins the leftmost pair of lowest rank, and
-looks up the two pairs that this makes. The ranks are a literal: every pair of
+The merges of a word are a fold: ``aggregate`` starts from the word's bytes, carries
+its ids and the ranks of its neighbouring pairs, joins the leftmost pair of lowest rank, and
+looks up the two pairs that this makes. Ids and ranks are held as strings of one
+character each, in which Spark replaces a place at a third of the cost of arrays. The ranks are a literal: every pair of
 tokens whose bytes join to a token, in buckets by a hash of the pair.
 
 Words repeat, so they are folded once where that pays:
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -46,8 +46,10 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 DICTIONARY, WORD_BYTES = 1 << 21, 64
 LONG = 256
 SLICE = 1 << 18
-#: As many buckets as ids: with one factor, a bucket and a left id leave one right id.
-_BUCKETS, _FACTOR, _NONE, _EDGE = 1 << 16, 40503, 1 << 17, (1 << 16) - 1
+_BUCKETS, _FACTOR = 1 << 16, 40503
+#: An id or rank as a character is its number after ``_BASE``, four bytes in UTF-8; the last numbers are an edge, no rank and a mark.
+_BASE = 0x10000
+_EDGE, _NONE, _MARK = (chr(_BASE + 0xFF00 + i) for i in range(3))
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 
 
@@ -71,11 +73,15 @@ def pairs(path: str) -> dict[tuple[int, int], int]:
 
 
 def _rank_map(path: str) -> Column:
-    """Buckets of the pairs' ranks as one literal: ``none, key, rank, key, rank, ...`` each; a key is -1 - the left id."""
-    buckets = [[_NONE] for _ in range(_BUCKETS)]
+    """Buckets of the pairs' ranks as one literal array of strings.
+
+    A bucket is ``left right mark rank mark`` for each pair, after three marks with
+    no rank in third place: where a pair is absent, its place 0 leads there.
+    """
+    buckets = [[_MARK, _MARK, _NONE, _MARK] for _ in range(_BUCKETS)]
     for (a, b), rank in pairs(path).items():
-        buckets[(a * _FACTOR + b) % _BUCKETS] += [-1 - a, rank]
-    return F.from_json(F.lit(json.dumps(buckets)), "array<array<int>>")
+        buckets[(a * _FACTOR + b) % _BUCKETS] += [chr(_BASE + a), chr(_BASE + b), _MARK, chr(_BASE + rank), _MARK]
+    return F.split(F.lit("\n".join(map("".join, buckets))), "\n")
 
 
 def _let(value: Column, use) -> Column:
@@ -84,42 +90,48 @@ def _let(value: Column, use) -> Column:
 
 
 def fold_word(word: Column, path: str) -> Column:
-    """The ids of a word as ``array<int>``; the rank map is in the plan once."""
+    """The ids of a word as a string of one character each; the rank map is in the plan once."""
     return _let(_rank_map(path), lambda table: _fold(word, table, path))
 
 
 def _fold(word: Column, table: Column, path: str) -> Column:
-    single = F.array(*(F.lit(ranks(path)[bytes([b])]) for b in range(256)))
-    edge, rest, factor = F.lit(_EDGE), F.lit(1 << 30), F.lit(_FACTOR).cast("bigint")
+    one, factor = F.lit(1), F.lit(_FACTOR).cast("bigint")
+    octets = "".join(map(chr, range(256)))
+    single = "".join(chr(_BASE + ranks(path)[bytes([b])]) for b in range(256))
+    # one character for each byte, and its id
+    ids = F.concat(F.lit(_EDGE), F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), octets, single), F.lit(_EDGE))
 
     def rank(a: Column, b: Column) -> Column:
-        # an absent key has position 0, which leads to the bucket's first entry
-        bucket = F.element_at(table, ((a * factor + b) % _BUCKETS + 1).cast("int"))
-        return _let(bucket, lambda x: F.element_at(x, (F.array_position(x, -1 - a) + 1).cast("int")))
-
-    raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character for each byte
-    n = F.octet_length(word)
-    ids = F.concat(F.array(edge), F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(single, F.ascii(F.substring(raw, i, F.lit(1))) + 1)), F.array(edge))
+        number = (F.ascii(a) - _BASE) * factor + (F.ascii(b) - _BASE)
+        return _let(F.element_at(table, (number % _BUCKETS + 1).cast("int")), lambda x: F.substring(x, F.instr(x, F.concat(a, b)) + 3, one))
 
     def start(p: Column) -> Column:
-        return F.struct(p.alias("ids"), F.transform(F.slice(p, 2, F.size(p)), lambda b, i: rank(F.element_at(p, i + 1), b)).alias("ranks"))
+        each = F.transform(F.sequence(one, F.char_length(p) - 1), lambda i: rank(F.substring(p, i, one), F.substring(p, i + 1, one)))
+        return F.struct(p.alias("ids"), F.array_join(each, "").alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
         p, r = state["ids"], state["ranks"]
 
         def join(low: Column) -> Column:
             def at(k: Column) -> Column:
-                left, right = F.element_at(p, k - 1), F.element_at(p, k + 2)
-                joined = F.concat(F.slice(p, 1, k - 1), F.array(low), F.slice(p, k + 2, rest))
-                around = F.concat(F.slice(r, 1, k - 2), F.array(rank(left, low), rank(low, right)), F.slice(r, k + 2, rest))
-                return F.struct(joined.alias("ids"), around.alias("ranks"))
+                around = F.concat(rank(F.substring(p, k - 1, one), low), rank(low, F.substring(p, k + 2, one)))
+                return F.struct(F.overlay(p, low, k, F.lit(2)).alias("ids"), F.overlay(r, around, k - 1, F.lit(3)).alias("ranks"))
+
+            return F.when(low < _NONE, _let(F.instr(r, low), at)).otherwise(state)
+
+        return _let(F.array_min(F.split(r, "")), join)
 
-            return F.when(low < _NONE, _let(F.array_position(r, low).cast("int"), at)).otherwise(state)
+    end = F.aggregate(F.sequence(one, F.greatest(one, F.octet_length(word) - 1)), _let(ids, start), step)
+    return _let(end["ids"], lambda p: F.substring(p, F.lit(2), F.char_length(p) - 2))
 
-        return _let(F.array_min(r), join)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), _let(ids, start), step)
-    return F.slice(end["ids"], 2, F.size(end["ids"]) - 2)
+def _numbers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of strings of ids end to end, and how many each has."""
+    if not len(strings):  # may have no buffers at all
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    data, bounds = ta.utf8(strings)
+    parts = data.reshape(-1, 4).astype(np.uint32) & np.array([7, 63, 63, 63], np.uint32)
+    return (parts @ np.array([1 << 18, 1 << 12, 1 << 6, 1], np.uint32) - _BASE).astype(np.uint16), np.diff(bounds) // 4
 
 
 def merge_long(word: bytes, path: str) -> list[int]:
@@ -302,8 +314,7 @@ def _assemble(path: str):
                 with pa.ipc.open_stream(batch.column("kept")[k].as_buffer()) as stream:
                     kept = stream.read_all().combine_chunks()
                 folded = batch.column("coded")[k].values
-                fold_ids = folded.flatten().to_numpy(zero_copy_only=False).astype(np.uint16) if folded is not None else np.zeros(0, np.uint16)
-                fold_n = folded.value_lengths().to_numpy(zero_copy_only=False) if folded is not None else np.zeros(0, np.int64)
+                fold_ids, fold_n = _numbers(folded if folded is not None else pa.array([], pa.string()))
                 size = np.concatenate([get("sizes", np.int64), fold_n])
                 # ids of the slice's distinct words first, then of the words in order
                 ids = _gather(np.concatenate([get("known", np.uint16), fold_ids]), (np.cumsum(size) - size)[words], size[words])
@@ -321,8 +332,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words as hashes, and their ids, in flat arrays: one row for each batch."""
     for batch in batches:
         data, bounds = ta.utf8(batch.column("word"))
-        ids = batch.column("ids")
-        row = ta.hash_words(data, bounds[:-1], bounds[1:]), np.diff(ids.offsets.to_numpy()).astype(np.uint8), ids.flatten().to_numpy().astype(np.uint16)
+        ids, n = _numbers(batch.column("ids"))
+        row = ta.hash_words(data, bounds[:-1], bounds[1:]), n.astype(np.uint8), ids
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["hashes", "n", "ids"])
 
 
