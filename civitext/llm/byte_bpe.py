@@ -324,6 +324,7 @@ def _assemble(path: str):
                 arrays = [kept.column(c).combine_chunks() if kept.column(c).num_chunks != 1 else kept.column(c).chunk(0) for c in kept.column_names]
                 wide = ids.astype("<u4").view(np.uint8)
                 yield pa.RecordBatch.from_arrays([*arrays, _binary(wide, 4 * np.diff(cuts)), _binary(decoded, np.diff(ends))], names=[*kept.column_names, "ids", "decoded"])
+        ta.release()
 
     return run
 

@@ -7,6 +7,8 @@ Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +58,13 @@ _WORD_POWERS = (_Powers(0x2545F4914F6CDD1D), _Powers(0x9FB21C651E98DF25))
 _BYTE_VALUE = mix(np.arange(256, dtype=_U), 7)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: an idle Python worker otherwise keeps what its largest slice took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices with at most ``limit`` bytes of text, or one row.
 
@@ -71,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
             upto = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+    release()
 
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
