@@ -168,10 +168,8 @@ class _Dictionary:
 
     def __init__(self, hashes: np.ndarray, n: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
-        starts = np.cumsum(n, dtype=np.int64) - n
-        self.hashes, self.n = hashes[order], n[order]
-        self.at = (np.cumsum(self.n, dtype=np.int64) - self.n).astype(np.uint32)
-        self.ids = _gather(ids, starts[order], self.n.astype(np.int64))
+        starts = (np.cumsum(n, dtype=np.int64) - n).astype(np.uint32)
+        self.hashes, self.n, self.at, self.ids = hashes[order], n[order], starts[order], ids
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is known, and its place."""
@@ -369,6 +367,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DIC
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     docs = docs.drop("ids", "decoded").withColumn("text", F.col("text").cast("string"))
     known = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select("text"), path, dictionary))
+    ta.release()
     columns = [c for c in docs.columns if c != "text"]
     cut = docs.mapInArrow(_cut(path, known, columns), _CUT)
     fold = _let(_rank_map(path), lambda table: F.transform("fold", lambda w: _fold(w, table, path)))
