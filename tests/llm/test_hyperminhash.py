@@ -19,13 +19,13 @@ def set_of(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [set_of(t) for _, t in rows]
     links = []
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
                 links.append((rows[i][0], rows[j][0]))
     roots = union({r[0] for r in rows}, links)
     return sorted(((d, len(s), roots[d], roots[d] == d or d is None) for (d, _), s in zip(rows, sets)), key=str)

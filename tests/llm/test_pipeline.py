@@ -31,7 +31,7 @@ def test_stages_and_run(spark):
     assert 0.8 < len(rows(good)) / len(texts) < 1
 
     single = materialise(stages["near_dedup"](spark, good, SF_DIR), "t")
-    kept = {d for d, _, _, keep in brute([(d, r.text) for d, r in rows(good).items()]) if keep}
+    kept = {d for d, _, _, keep in brute([(d, r.text) for d, r in rows(good).items()], 80) if keep}
     assert single.columns == columns and set(rows(single)) == kept and len(kept) < good.count()
 
     masked = materialise(stages["secrets"](spark, single, SF_DIR), "t")
@@ -67,3 +67,57 @@ def test_rows_without_ids_and_empty_table(spark):
         for name, stage in corpus_pipeline.STAGES[1:]:
             docs = materialise(stage(spark, docs, SF_DIR), "t")
         assert docs.count() <= table.count() and (docs.count() > 0) == (table.count() > 0)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ["key", "words", "ranges", "spans", "its_id", "its_doc_id", "row", "score", "predicted", "own_id", "place", "its_source", "none"]
+
+
+def words_from(start, n):
+    return " ".join(f"w{i}" for i in range(start, start + n))
+
+
+def run_stages(spark, docs, names):
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        if name in names:
+            out = materialise(stage(spark, out, SF_DIR), "t")
+            assert out.columns == docs.columns or name == "tokens"
+    return out
+
+
+def test_near_duplicates_from_eighty_percent_on_go(spark):
+    """104 words have 100 shingles; with 11 to 30 others at the end they share from 90 to 77 percent."""
+    base = words_from(0, 104)
+    texts = [base] + [base + " " + words_from(1000 * k, extra) for k, extra in enumerate((11, 17, 20, 24, 25, 26, 30), 1)]
+    data = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    out = rows(run_stages(spark, spark.createDataFrame(data, SCHEMA), ["near_dedup"]))
+    wanted = {d for d, _, _, keep in brute([(i, t) for i, t, *_ in data], 80) if keep}
+    assert set(out) == wanted and 0 in out and 4 not in out and 7 in out
+
+
+def test_texts_under_one_id_are_documents_each(spark):
+    a, b, c = words_from(0, 40), words_from(100, 40), words_from(200, 40)
+    data = [(2, a, "en", "s", 1), (2, b, "en", "s", 1), (2, a, "en", "s", 1), (2, a, "de", "s", 1), (3, c, "en", "s", 1), (3, c, "en", "s", 1), (4, a, "en", "s", 1), (None, b, "en", "s", 1), (None, c + " x", "en", "s", 1)]
+    for _ in range(2):  # the same rows whatever the order
+        out = [tuple(r) for r in run_stages(spark, spark.createDataFrame(data, SCHEMA).repartition(3), ["near_dedup"]).collect()]
+        kept = sorted((r[1][:4], r[0]) for r in out)
+        # a: id 4 names one text and comes before the ambiguous id 2; b: an id with several texts and none tie by hash
+        assert len(out) == 3 and ("w0 w", 4) in kept and ("w200", 3) in kept
+        data.reverse()
+
+
+def test_clashing_columns_and_odd_rows_pass_all_stages(spark):
+    secret = words_from(0, 50) + " password = hunter2secret " + words_from(300, 30)
+    data = [(i, f"{words_from(50 * i, 40)}\t {secret if i == 3 else ''}", "en", f"s{i % 2}", 1, *[f"{c}{i}" for c in CLASHES]) for i in range(6)]
+    data += [(9, None, None, None, None, *[None] * len(CLASHES)), (None, "", "en", None, 0, *[None] * len(CLASHES)), data[2], data[2]]
+    docs = spark.createDataFrame(data, SCHEMA + "".join(f", {c} string" for c in CLASHES))
+    out = run_stages(spark, docs, ["near_dedup", "secrets"])
+    found = [r.asDict() for r in out.collect()]
+    assert len(found) == 8 and all(r[c] == (f"{c}{r['doc_id']}" if r["doc_id"] in range(6) else None) for r in found for c in CLASHES)
+    assert next(r for r in found if r["doc_id"] == 3)["text"].count("[SECRET]") == 1
+    mixed = run_stages(spark, out, ["mix"])
+    assert all(r[c] == f"{c}{r['doc_id']}" and r["n_chars"] == len(r["text"]) for r in (x.asDict() for x in mixed.collect()) for c in CLASHES)
+    assert {r.doc_id for r in run_stages(spark, mixed, ["tokens"]).collect()} == {r.doc_id for r in mixed.collect()}
+    judged = corpus_pipeline.quality(spark, docs, SF_DIR)
+    assert judged.columns == docs.columns and all(r["score"] in (None, f"score{r['doc_id']}") for r in (x.asDict() for x in judged.collect()))
