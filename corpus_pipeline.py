@@ -1,55 +1,92 @@
 """The corpus pipeline: quality, near-duplicates, secrets, mixing, tokens.
 
 Each stage takes what the one before it kept, written as Parquet and read
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``, and further columns
+that a table brings, whatever their names: a stage sees its own columns, and the
+others travel in one struct.
+
+A document is a pair of ``doc_id`` and text. Rows that are equal in both are one
+document, of which the row that comes first in JSON order stays where a stage needs one;
+different texts under one id are documents each, also where the id is null.
+Ties between documents go to the smaller id; documents whose id is null or has several
+texts come after the others, in the order of a hash. Null and empty texts are documents without
+words: quality scores them like any text, near_dedup keeps them, mix leaves them out.
+Texts are read whole whatever their length. An empty table passes through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civitext.llm import byte_bpe, hyperminhash, mixing, quality_cnn, secret_scan
 from civitext.session import materialise
 
+#: Texts are near-duplicates from this share of common shingles on.
+PERCENT = 80
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``key``: the id, or a negative number made from the text where it is null."""
-    by_text = -1 - F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1)
-    return docs.withColumn("key", F.coalesce("doc_id", by_text))
+
+def _own(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others as one struct ``row``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"))
+
+
+def _back(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of a table that went through :func:`_own`, some of them replaced."""
+    stored = df.schema["row"].dataType.fieldNames()
+    read = lambda c: replaced.get(c, F.col("row").getField(c) if c in stored else F.col(c)).alias(c)
+    return df.select(*map(read, columns))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row`` with ``key``, one row for each document: the id, or a large number made from id and text where the id does not name one text."""
+    own = _own(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    print_of = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    several = own.groupBy("doc_id").agg(F.min(print_of).alias("low"), F.max(print_of).alias("high")).filter("low <> high")
+    several = several.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("its_id"))
+    made = F.xxhash64("doc_id", print_of).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    named = own.join(several, F.col("doc_id") == F.col("its_id"), "left")
+    named = named.withColumn("key", F.when(F.col("doc_id").isNull() | F.col("its_id").isNotNull(), made).otherwise(F.col("doc_id"))).drop("its_id")
+    first = Window.partitionBy("key").orderBy(F.to_json("row"))
+    return named.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the network, learned on labelled ones, predicts as 0; empty texts are scored too."""
+    """Drops the rows that the network, learned on labelled ones, predicts as 0; equal rows are judged alike."""
     net = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_cnn.score_quality(docs, net, keep_text=True)
-    return scored.filter("predicted = 1").select(docs.columns)
+    scored = quality_cnn.score_quality(_own(docs, "text"), net, keep_text=True)
+    return _back(scored.filter("predicted = 1"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group; texts without an id are one document for each text."""
-    keyed = _with_key(docs)
-    found = hyperminhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    """Keeps one document of each group of near-duplicates, that of the smallest id; documents without words stay."""
+    keyed = materialise(_keyed(docs), "documents")
+    found = hyperminhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), percent=PERCENT)
     kept = found.filter("kept").select(F.col("doc_id").alias("key"))
-    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(docs.columns)
+    return _back(keyed.join(kept, "key", "left_semi"), docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every secret; no document goes."""
-    return secret_scan.mask_secrets(docs)
+    """Masks every secret; no row goes."""
+    return _back(secret_scan.mask_secrets(_own(docs, "text")), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document the words that the mix takes from it; those without any go."""
-    keyed = _with_key(docs)
-    sizes = materialise(mixing.sizes_of(keyed.drop("doc_id").withColumnRenamed("key", "doc_id")), "mix-sizes")
-    named = keyed.withColumnRenamed("doc_id", "its_doc_id").withColumnRenamed("key", "doc_id")
+    """Gives each document the words that the mix takes from it, joined by one space; those without any go.
+
+    White space of the source becomes single spaces, and ``n_chars`` follows the text.
+    """
+    keyed = materialise(_keyed(docs), "documents")
+    named = keyed.withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "doc_id")
+    source = F.col("row").getField("source").alias("source")
+    sizes = materialise(mixing.sizes_of(named.select("doc_id", "text", source)), "mix-sizes")
     mixed = mixing.mixed_texts(named, sizes)
-    return mixed.drop("doc_id").withColumnRenamed("its_doc_id", "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return _back(mixed, docs.columns, doc_id=F.col("own_id"), n_chars=F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, n_tokens, ids``: the token ids as little-endian 32-bit integers."""
+    """``doc_id, lang, source, n_tokens, ids``: the token ids of every row as little-endian 32-bit integers."""
     coded = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"))
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
