@@ -47,16 +47,19 @@ DICTIONARY, WORD_BYTES = 1 << 21, 64
 LONG = 256
 SLICE = 1 << 18
 _BUCKETS, _FACTOR = 1 << 16, 40503
-#: An id or rank as a character is its number after ``_BASE``, four bytes in UTF-8; the last numbers are an edge, no rank and a mark.
-_BASE = 0x10000
-_EDGE, _NONE, _MARK = (chr(_BASE + 0xFF00 + i) for i in range(3))
+#: An id or rank as a character is its number after ``_BASE``, three bytes in UTF-8; beyond all of them are an edge, no rank and a mark.
+_BASE, _LIMIT = 0x800, 0xD000
+_EDGE, _NONE, _MARK = (chr(_LIMIT + i) for i in range(3))
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 
 
 @cache
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    if max(known.values()) + _BASE >= _LIMIT:
+        raise ValueError(f"{path} has ids from {_LIMIT - _BASE} on")
+    return known
 
 
 @cache
@@ -72,16 +75,22 @@ def pairs(path: str) -> dict[tuple[int, int], int]:
     return out
 
 
-def _rank_map(path: str) -> Column:
-    """Buckets of the pairs' ranks as one literal array of strings.
+@cache
+def _rank_text(path: str) -> str:
+    """Buckets of the pairs' ranks, one on a line.
 
     A bucket is ``left right mark rank mark`` for each pair, after three marks with
     no rank in third place: where a pair is absent, its place 0 leads there.
     """
-    buckets = [[_MARK, _MARK, _NONE, _MARK] for _ in range(_BUCKETS)]
-    for (a, b), rank in pairs(path).items():
-        buckets[(a * _FACTOR + b) % _BUCKETS] += [chr(_BASE + a), chr(_BASE + b), _MARK, chr(_BASE + rank), _MARK]
-    return F.split(F.lit("\n".join(map("".join, buckets))), "\n")
+    buckets = [_MARK + _MARK + _NONE + _MARK] * _BUCKETS
+    for (a, b), rank in pairs.__wrapped__(path).items():  # the driver needs the pairs once
+        buckets[(a * _FACTOR + b) % _BUCKETS] += chr(_BASE + a) + chr(_BASE + b) + _MARK + chr(_BASE + rank) + _MARK
+    return "\n".join(buckets)
+
+
+def _rank_map(path: str) -> Column:
+    """The ranks as one literal array of strings."""
+    return F.split(F.lit(_rank_text(path)), "\n")
 
 
 def _let(value: Column, use) -> Column:
@@ -130,8 +139,8 @@ def _numbers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(strings):  # may have no buffers at all
         return np.zeros(0, np.uint16), np.zeros(0, np.int64)
     data, bounds = ta.utf8(strings)
-    parts = data.reshape(-1, 4).astype(np.uint32) & np.array([7, 63, 63, 63], np.uint32)
-    return (parts @ np.array([1 << 18, 1 << 12, 1 << 6, 1], np.uint32) - _BASE).astype(np.uint16), np.diff(bounds) // 4
+    one, two, three = (data[k::3].astype(np.int32) for k in range(3))
+    return (((one & 15) << 12 | (two & 63) << 6 | three & 63) - _BASE).astype(np.uint16), np.diff(bounds) // 3
 
 
 def merge_long(word: bytes, path: str) -> list[int]:
