@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civitext.llm import byte_bpe, hyperminhash, mixing, quality_cnn, secret_scan
+from civitext.llm import byte_bpe, hyperminhash, mixing, quality_cnn, secret_scan, text_arrays
 from civitext.session import materialise
 
 #: Texts are near-duplicates from this share of common shingles on.
@@ -55,6 +55,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that the network, learned on labelled ones, predicts as 0; equal rows are judged alike."""
     net = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    text_arrays.release()  # what the fit took in the driver
     scored = quality_cnn.score_quality(_own(docs, "text"), net, keep_text=True)
     return _back(scored.filter("predicted = 1"), docs.columns)
 
