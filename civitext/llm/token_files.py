@@ -37,6 +37,8 @@ BLOCK = 1 << 16
 LAST = (1 << 63) - 1
 #: Bytes of text whose distinct words are encoded at once.
 SLICE = 8 << 20
+#: Bytes of words' ids that a worker keeps, and characters of a text that part rows of one id.
+KNOWN_BYTES, PREFIX = 48 << 20, 32
 #: Widths for which packing is a plain little-endian array.
 _WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 _TRAILER = struct.Struct("<QQQQII8s")  # footer at, documents, ids, blocks, bits, ids in a block
@@ -130,24 +132,64 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode(texts: pa.Array, path: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+class _Known:
+    """Ids of words that a worker has met, by a hash of their bytes; the first ``most`` bytes of them.
+
+    It lives as long as the worker's process, across slices and tasks. What it
+    holds decides nothing: any other word is encoded when it comes.
+    """
+
+    def __init__(self, most: int = KNOWN_BYTES):
+        self.most = most
+        self.hashes, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is known, and its place."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[place] == hashes, place
+
+    def add(self, hashes: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        if self.hashes.nbytes + self.at.nbytes + self.n.nbytes + self.ids.nbytes + 16 * len(hashes) + ids.nbytes > self.most:
+            return
+        at = (len(self.ids) + np.cumsum(n) - n).astype(np.uint32)
+        hashes, at, n = np.concatenate([self.hashes, hashes]), np.concatenate([self.at, at]), np.concatenate([self.n, n.astype(np.uint32)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.n, self.ids = hashes[order], at[order], n[order], np.concatenate([self.ids, ids])
+
+
+@cache
+def _known(path: str) -> _Known:
+    return _Known()
+
+
+def encode(texts: pa.Array, path: str, end: int | None, known: _Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end and each text's number of ids, with ``end`` after each text.
 
     This vocabulary drops white space and nothing joins across it, so the ids of
-    a text are those of its words; each distinct word is encoded once.
+    a text are those of its words; each distinct word is encoded once in a
+    slice, and not at all if the worker knows it.
     """
+    known = _known(path) if known is None else known
     data, bounds = ta.utf8(texts)
     starts, ends, first = ta.words(data, bounds)
-    _, place, own = np.unique(ta.hash_words(data, starts, ends), return_index=True, return_inverse=True)
+    hashes, place, own = np.unique(ta.hash_words(data, starts, ends), return_index=True, return_inverse=True)
+    hit, where = known.find(hashes)
+    new = np.flatnonzero(~hit)
     raw = data.tobytes()
-    words = [raw[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist())]
+    words = [raw[a:b].decode() for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist())]
     coded = [e.ids for e in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
-    size = np.array([len(c) for c in coded], np.int64)
-    flat = np.array([i for c in coded for i in c], np.uint32)
-    at = np.cumsum(size) - size
+    new_n = np.array([len(c) for c in coded], np.int64)
+    new_ids = np.array([i for c in coded for i in c], np.uint32)
+    size, at = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+    size[hit], at[hit] = known.n[where[hit]], known.at[where[hit]]
+    size[new], at[new] = new_n, len(known.ids) + np.cumsum(new_n) - new_n
+    flat = np.concatenate([known.ids, new_ids])
+    known.add(hashes[new], new_n, new_ids)
     n = size[own] if len(own) else np.zeros(0, np.int64)
     stops = np.cumsum(n)
-    ids = flat[np.repeat(at[own] - (stops - n), n) + np.arange(n.sum())] if len(own) else flat
+    ids = flat[np.repeat(at[own] - (stops - n), n) + np.arange(n.sum())] if len(own) else new_ids
     cuts = np.concatenate(([0], stops))[first]
     lengths = np.diff(cuts)
     if end is not None:
@@ -195,7 +237,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     bits = max(1, (max(_tokenizer(path).get_vocab_size(), (end or 0) + 1) - 1).bit_length())
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # the beginning of the text parts rows without an id, or of one id, into several files
+    ordered = rows.repartitionByRange("id", F.substring("text", 1, PREFIX)).sortWithinPartitions("id", "text")
     files = ordered.mapInArrow(_write(folder, path, end, bits), "shard int, file string, n_docs long, n_ids long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return materialise(files, "token-files").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

@@ -83,3 +83,23 @@ def test_query_equals_tokenizer_on_whole_table(spark):
         ids = whole(texts[r.doc_id])
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+@pytest.mark.parametrize("most", [0, 200, 1 << 20])
+def test_known_words_change_no_ids(most):
+    known = tf._Known(most)
+    for k in range(6):
+        texts = [" ".join(f"word{i} Ünï{i * k} the" for i in range(k, k + 30)), None, "the the"]
+        ids, lengths = tf.encode(pa.array(texts, pa.string()), PATH, tf.END, known)
+        expected = [whole(t) for t in texts]
+        assert lengths.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+        assert known.hashes.nbytes + known.at.nbytes + known.n.nbytes + known.ids.nbytes <= most
+    assert (len(known.hashes) > 0) == (most > 0) or most == 200
+
+
+def test_rows_without_ids_go_to_several_files(spark):
+    rows = [(None, f"{i:04d} text", "x") for i in range(3000)]
+    got, files = rows_of(spark, rows)
+    assert files.count() > 2 and len(got) == 3000 and all(r.doc_id is None for r in got)
+    ids = [i for r in got for i in r.ids]
+    assert ids == [i for _, t, _ in rows for i in whole(t)]
