@@ -6,7 +6,10 @@ another vector ``q``, ``<x, q> / (f sqrt(d))`` estimates ``<o, q>`` without bias
 What ``q`` has across ``o`` is at most ``sqrt(1 - t^2)`` long if the pair's cosine
 is at least ``t``, so for such a pair the estimate is never more than
 ``sqrt(1 - t^2) sqrt(1 - f^2) / f`` below ``t``: this bound drops pairs and loses
-none. Pairs within it are computed again from the original vectors.
+none. Pairs within it are computed again from the original vectors. Codes (one
+bit for each coordinate) and factors are made once for each vector and stored; a
+task turns the vectors of one of its two blocks, once each, and gets the estimates of
+all pairs as one product of matrices.
 
 Signs of further rotations make band keys: pairs at the threshold share a band
 with all but ``MISS`` probability. A pair belongs to the first band that both
@@ -59,7 +62,7 @@ def band_keys(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
 
 
 def _keys(bits: int, bands: int):
-    schema = pa.schema([("rep", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("rep", pa.int64()), ("keys", pa.list_(pa.int64())), ("code", pa.binary()), ("factor", pa.float64())])
 
     def run(batches):
         for batch in batches:
@@ -69,27 +72,37 @@ def _keys(bits: int, bands: int):
                 own = np.flatnonzero(sizes == d)
                 for part in np.array_split(own, max(1, len(own) // 1024)):
                     x = np.array([vectors[i] for i in part], np.float64)
-                    keys = band_keys(x / np.linalg.norm(x, axis=1, keepdims=True), bits, bands)
+                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    keys = band_keys(unit, bits, bands)
                     lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[part]), lists], schema=schema)
+                    packed, factor = encode(unit)
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[part]), lists, pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(factor)], schema=schema)
 
     return run
 
 
+def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed signs of each turned vector of length 1, and its correction factor."""
+    turned = unit @ rotation(unit.shape[1], 0).T
+    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(1) / math.sqrt(unit.shape[1])
+
+
+def decode(packed: np.ndarray, d: int) -> np.ndarray:
+    """Codes of length 1 from packed signs."""
+    return (np.unpackbits(packed, axis=1, count=d) * 2.0 - 1) / math.sqrt(d)
+
+
+def possible_pairs(codes: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a coded and a turned vector whose estimate does not rule out a cosine of ``threshold``."""
+    slack = math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(0, 1 - factor**2)) / factor
+    return np.nonzero(codes @ turned.T >= (factor * (threshold - slack - 1e-9))[:, None])
+
+
 def linked_pairs(vectors: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs have a cosine of at least ``threshold``: by codes first, then exactly."""
+    """Which of the pairs have a cosine of at least ``threshold``, computed from the vectors."""
     norms = np.sqrt((vectors * vectors).sum(1))
-    turned = (vectors / norms[:, None]) @ rotation(vectors.shape[1], 0).T
-    codes = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(vectors.shape[1])
-    factor = (codes * turned).sum(1)
     a, b = pairs.T
-    estimate = np.einsum("ij,ij->i", codes[a], turned[b]) / factor[a]
-    slack = math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(0, 1 - factor[a] ** 2)) / factor[a]
-    out = estimate + slack + 1e-9 >= threshold
-    near = np.flatnonzero(out)
-    a, b = a[near], b[near]
-    out[near] = (vectors[a] * vectors[b]).sum(1) / (norms[a] * norms[b]) >= threshold
-    return out
+    return (vectors[a] * vectors[b]).sum(1) / (norms[a] * norms[b]) >= threshold
 
 
 def _compare(threshold: float):
@@ -98,40 +111,38 @@ def _compare(threshold: float):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         band, low, high = (key[k].as_py() for k in (0, 2, 3))
-        reps, copies, block = (rows.column(c).to_numpy() for c in ("rep", "copies", "block"))
+        reps, copies, block, factor = (rows.column(c).to_numpy() for c in ("rep", "copies", "block", "factor"))
         keys = np.array(rows.column("keys").to_pylist(), np.int64)[:, : band + 1]
         vectors = np.array(rows.column("embedding").to_pylist(), np.float64)
+        packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(reps), -1)
+        d = vectors.shape[1]
         first, second = (np.flatnonzero(block == b) for b in (low, high))
-        count, root, links = np.zeros(len(reps), np.int64), np.arange(len(reps)), []
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        for i in first:
-            others = second[second > i] if low == high else second
-            others = others[~(keys[others, :band] == keys[i, :band]).any(1)]  # not met in an earlier band
-            if not len(others):
-                continue
-            pairs = np.stack([np.full(len(others), i), others], 1)
-            for j in others[linked_pairs_of(vectors, pairs, threshold)]:
-                count[i] += copies[j]
-                count[j] += copies[i]
-                x, y = top(i), top(j)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    links.append((reps[i], reps[j]))
+        own = vectors[first]
+        turned = (own / np.sqrt((own * own).sum(1))[:, None]) @ rotation(d, 0).T
+        j, i = possible_pairs(decode(packed[second], d), factor[second], turned, threshold)
+        pairs = np.stack([first[i], second[j]], 1)
+        pairs = pairs[(pairs[:, 0] < pairs[:, 1]) if low == high else slice(None)]
+        linked = []
+        for part in np.array_split(pairs, max(1, len(pairs) // 65536)):
+            part = part[~(keys[part[:, 0], :band] == keys[part[:, 1], :band]).any(1)]  # not met in an earlier band
+            linked.append(part[linked_pairs(vectors, part, threshold)])
+        a, b = np.concatenate(linked).T
+        count = np.bincount(a, copies[b], len(reps)).astype(np.int64) + np.bincount(b, copies[a], len(reps)).astype(np.int64)
+        root, links = list(range(len(reps))), []
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x_top, y_top = top(x), top(y)
+            if x_top != y_top:
+                root[max(x_top, y_top)] = min(x_top, y_top)
+                links.append((reps[x], reps[y]))
         counted = np.flatnonzero(count)
-        a = np.concatenate([reps[counted], np.array([x for x, _ in links], np.int64)])
-        b = np.concatenate([reps[counted], np.array([y for _, y in links], np.int64)])
-        n = np.concatenate([count[counted], np.zeros(len(links), np.int64)])
-        return pa.table([a, b, n], schema=schema)
-
-    def linked_pairs_of(vectors, pairs, threshold):
-        i, others = pairs[0, 0], pairs[:, 1]
-        own = np.concatenate([[i], others])
-        return linked_pairs(vectors[own], np.stack([np.zeros(len(others), np.int64), np.arange(1, len(own))], 1), threshold)
+        ends = [np.concatenate([reps[counted], np.array([link[k] for link in links], np.int64)]) for k in (0, 1)]
+        return pa.table([*ends, np.concatenate([count[counted], np.zeros(len(links), np.int64)])], schema=schema)
 
     return run
 
@@ -156,9 +167,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     alike = alike.withColumn("rep_key", F.xxhash64("label", "vector", "rep"))
     reps = materialise(alike.withColumnRenamed("vector", "embedding"), "vectors")
     bits, bands = banding(reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1, threshold, miss)
-    keyed = reps.select(F.col("rep_key").alias("rep"), "embedding").mapInArrow(_keys(bits, bands), "rep long, keys array<long>")
+    keyed = reps.select(F.col("rep_key").alias("rep"), "embedding").mapInArrow(_keys(bits, bands), "rep long, keys array<long>, code binary, factor double")
     keyed = materialise(keyed, "vector-bands")
-    placed = reps.select(F.col("rep_key").alias("rep"), "label", F.size("embedding").alias("d")).join(keyed, "rep")
+    placed = reps.select(F.col("rep_key").alias("rep"), "label", F.size("embedding").alias("d")).join(keyed.select("rep", "keys"), "rep")
     banded = placed.select("rep", F.posexplode("keys").alias("band", "code"), "label", "d")
     bucket = F.xxhash64("band", "code", "label", "d").alias("bucket")
     buckets = banded.groupBy("band", bucket).agg(F.count("*").alias("n")).filter("n > 1")

@@ -75,6 +75,12 @@ def test_codes_lose_no_pair_and_estimate_without_bias():
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     exact = (u[pairs[:, 0]] * u[pairs[:, 1]]).sum(1)
     assert (ed.linked_pairs(x, pairs, 0.98) == (exact >= 0.98)).all() and (exact >= 0.98).sum() > 20
+    packed, factor = ed.encode(u)
+    assert packed.shape == (400, 8) and packed.dtype == np.uint8
+    codes, turned = ed.decode(packed, 64), u @ ed.rotation(64, 0).T
+    assert np.allclose((codes * turned).sum(1), factor)
+    possible = set(zip(*map(np.ndarray.tolist, ed.possible_pairs(codes, factor, turned, 0.98))))
+    assert {tuple(p) for p in pairs[exact >= 0.98].tolist()} <= possible and len(possible) < 0.5 * 400 * 400
     errors = []
     for k in range(300):
         p = ed.rotation(64, 1000 + k)
