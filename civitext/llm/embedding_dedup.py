@@ -112,8 +112,8 @@ def _compare(threshold: float):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         band, low, high = (key[k].as_py() for k in (0, 2, 3))
         reps, copies, block, factor = (rows.column(c).to_numpy() for c in ("rep", "copies", "block", "factor"))
-        keys = np.array(rows.column("keys").to_pylist(), np.int64)[:, : band + 1]
-        vectors = np.array(rows.column("embedding").to_pylist(), np.float64)
+        matrix = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
+        vectors = matrix("embedding")
         packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(reps), -1)
         d = vectors.shape[1]
         first, second = (np.flatnonzero(block == b) for b in (low, high))
@@ -122,7 +122,9 @@ def _compare(threshold: float):
         j, i = possible_pairs(decode(packed[second], d), factor[second], turned, threshold)
         pairs = np.stack([first[i], second[j]], 1)
         pairs = pairs[(pairs[:, 0] < pairs[:, 1]) if low == high else slice(None)]
-        linked = []
+        if not len(pairs):  # most buckets
+            return schema.empty_table()
+        keys, linked = matrix("keys"), []
         for part in np.array_split(pairs, max(1, len(pairs) // 65536)):
             part = part[~(keys[part[:, 0], :band] == keys[part[:, 1], :band]).any(1)]  # not met in an earlier band
             linked.append(part[linked_pairs(vectors, part, threshold)])
