@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from civitext import HARM, VERACITY
 from civitext.operators import linear, naive_bayes, selection, vocabulary
 from civitext.operators import predict as pr
+from civitext.plans import queries
 from civitext.session import scratch_path
 from civitext.streaming import score_stream
 
@@ -279,6 +280,21 @@ def test_stream_equals_batch(spark, harm):
     assert sorted(map(str, scored.collect())) == sorted(map(str, pr.predict(df, model).collect()))
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_stream_reads_a_table_of_one_file_or_a_folder(spark, tmp_path, files):
+    texts = [(i, f"{text} w{i} text", "en", "web", 1) for i, text, _ in corpus(3, 40)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for name, table in (("documents", documents), ("labels", labels)):
+        target = tmp_path / f"{name}.parquet"
+        if files > 1:
+            table.repartition(files).write.parquet(str(target))
+        else:
+            table.toPandas().astype({"doc_id": "int64"}).to_parquet(target)
+    streamed, batch = (queries()[name](spark, str(tmp_path)).collect() for name in ("stream_score", "predict_harm"))
+    assert len(streamed) == 40 and sorted(map(str, streamed)) == sorted(map(str, batch))
+
+
 def test_a_difference_below_the_printed_places_decides(spark):
     rows = [(1, 0.5, 1, 0.8123456), (2, 1.0, 1, 0.8123456 + 4e-7), (3, 2.0, 1, 0.8123456 + 4e-7)]
     scored = spark.createDataFrame(rows, "candidate int, alpha double, min_count int, f1 double")
