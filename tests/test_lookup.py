@@ -62,3 +62,31 @@ def test_the_bitmap_is_broadcast_and_bounded(spark):
     huge = lookup.TokenTable(tokens.table, 10**10, 10**12, tokens.occurrences)
     pieces = lookup._in_tail(df, tokens.table, huge)
     assert pieces.count() == df.count()
+
+
+def test_sums_of_a_large_table_keep_no_lists_and_sort_no_token_rows(spark):
+    _, _, df, tokens = case(spark)
+    sums, own = {"a": "coalesce(w[0], 0L)"}, {"tokens": "CAST(1 AS BIGINT)"}
+    plan = lookup.sum_by_key(df, tokens, sums, own=own, **TIGHT)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_a_token_in_the_tail_counts_as_often_as_it_occurs(spark):
+    table = [(f"w{i}", [i, -i], 9 - i) for i in range(8)]
+    tokens = lookup.TokenTable(spark.createDataFrame(table, "token string, w array<long>, total long"), 8, 80, 44)
+    rows = [(1, "w7")] * 3 + [(1, "w0"), (1, "x"), (1, None), (2, "w6"), (2, "w6"), (3, None), (None, "w7"), (None, "w7")]
+    df = spark.createDataFrame(rows, "doc_id long, token string")
+    limits = {"max_rows": 2, "max_bytes": 1000, "salts": 2}
+    out = lookup.sum_by_key(df, tokens, {"a": "coalesce(w[0], 0L)"}, own={"n": "CAST(1 AS BIGINT)"}, **limits)
+    assert {r.doc_id: (r.a, r.n) for r in out.collect()} == {1: (21, 6), 2: (12, 2), 3: (0, 1), None: (14, 2)}
+
+
+def test_the_head_takes_as_many_tokens_as_may_be_broadcast(spark):
+    _, table, df, tokens = case(spark)
+    head, tail = lookup._parts(tokens, 50, lookup._least_total(tokens, 50, 1 << 20))
+    totals = sorted((n for _, n in table.values()), reverse=True)
+    assert sorted((r.total for r in head.collect()), reverse=True) == totals[:50]
+    assert tail.count() == len(totals) - 50
+    assert lookup._least_total(tokens, 50, 10) is None
+    flat = lookup.TokenTable(tokens.table.withColumn("total", F.lit(3).cast("long")), 600, 10_000, 1800)
+    assert lookup._least_total(flat, 50, 1 << 20) is None  # equal totals stay together
