@@ -86,6 +86,23 @@ def test_attribution_with_a_large_table_still_shuffles_texts_once(spark, model):
     assert final.count("documents.parquet") == 1 and "ReusedExchange" in final
 
 
+def test_attribution_with_a_large_table_moves_unsettled_token_rows_only(spark, model):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(explain.with_margin(explain.attributions(documents(spark), model, max_rows=100)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L, \d+\), ENSURE_REQUIREMENTS", text)
+
+
+def test_attribution_parts_follow_the_bytes_of_the_texts(spark, model, monkeypatch):
+    monkeypatch.setattr(explain, "PART_BYTES", 10_000)
+    size = documents(spark).agg(F.sum(F.octet_length("text"))).first()[0]
+    parts = -(-size // 10_000)
+    assert parts > 8
+    assert explain.attributions(documents(spark), model).rdd.getNumPartitions() == parts
+
+
 def test_samples_are_limited_before_the_shuffle(spark):
     text = plan(profile.sample_per_class(corpora.harm(spark, SF_DIR)))
     assert text.count("WindowGroupLimit") == 2
