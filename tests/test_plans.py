@@ -9,7 +9,7 @@ from civitext import HARM
 from civitext.operators import explain, naive_bayes, prepare, profile
 from civitext.operators import predict as pr
 from civitext.operators import split as sp
-from civitext.plans import corpora
+from civitext.plans import corpora, queries
 from civitext.session import materialise
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -103,6 +103,11 @@ def test_attribution_parts_follow_the_bytes_of_the_texts(spark, model, monkeypat
     assert explain.attributions(documents(spark), model).rdd.getNumPartitions() == parts
 
 
+def test_the_linear_model_scores_texts_that_are_cleaned_once(spark):
+    text = plan(queries()["linear_roundtrip"](spark, SF_DIR))
+    assert "ArrowEvalPython" not in text and "documents.parquet" not in text
+
+
 def test_samples_are_limited_before_the_shuffle(spark):
     text = plan(profile.sample_per_class(corpora.harm(spark, SF_DIR)))
     assert text.count("WindowGroupLimit") == 2
