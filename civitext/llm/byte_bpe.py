@@ -3,8 +3,9 @@
 The merges of a word are a fold: ``aggregate`` starts from the word's bytes, carries
 its ids and the ranks of its neighbouring pairs, joins the leftmost pair of lowest rank, and
 looks up the two pairs that this makes. Ids and ranks are held as strings of one
-character each, in which Spark replaces a place at a third of the cost of arrays. The ranks are a literal: every pair of
-tokens whose bytes join to a token, in buckets by a hash of the pair.
+character each, in which Spark replaces a place at a third of the cost of arrays. The ranks are a table of one row that
+is broadcast: every pair of tokens whose bytes join to a token, in buckets by a hash of the pair. (A literal of them would
+be part of each description of a plan that the driver makes: seven megabytes at every stage.)
 
 Words repeat, so they are folded once where that pays:
 
@@ -75,22 +76,28 @@ def pairs(path: str) -> dict[tuple[int, int], int]:
     return out
 
 
-@cache
-def _rank_text(path: str) -> str:
-    """Buckets of the pairs' ranks, one on a line.
+def _rank_buckets(path: str) -> list[str]:
+    """Buckets of the pairs' ranks.
 
     A bucket is ``left right mark rank mark`` for each pair, after three marks with
     no rank in third place: where a pair is absent, its place 0 leads there.
     """
     buckets = [_MARK + _MARK + _NONE + _MARK] * _BUCKETS
-    for (a, b), rank in pairs.__wrapped__(path).items():  # the driver needs the pairs once
+    for (a, b), rank in pairs.__wrapped__(path).items():  # one task needs the pairs once
         buckets[(a * _FACTOR + b) % _BUCKETS] += chr(_BASE + a) + chr(_BASE + b) + _MARK + chr(_BASE + rank) + _MARK
-    return "\n".join(buckets)
+    return buckets
+
+
+def rank_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the ranks, ``ranks array<string>``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([_rank_buckets(path)], pa.list_(pa.string()))], names=["ranks"])
+        ta.release()
 
-def _rank_map(path: str) -> Column:
-    """The ranks as one literal array of strings."""
-    return F.split(F.lit(_rank_text(path)), "\n")
+    return materialise(spark.range(0, 1, 1, 1).mapInArrow(run, "ranks array<string>"), "bpe-ranks")
 
 
 def _let(value: Column, use) -> Column:
@@ -98,9 +105,13 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def fold_word(word: Column, path: str) -> Column:
-    """The ids of a word as a string of one character each; the rank map is in the plan once."""
-    return _let(_rank_map(path), lambda table: _fold(word, table, path))
+def fold_words(rows: DataFrame, ranks: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ``coded``: the ids of each word of the array ``fold`` as a string of one character each.
+
+    Each row meets the ranks once, so it should hold many words.
+    """
+    each = _let(F.col("ranks"), lambda table: F.transform("fold", lambda word: _fold(word, table, path)))
+    return rows.crossJoin(F.broadcast(ranks)).withColumn("coded", each).drop("ranks")
 
 
 def _fold(word: Column, table: Column, path: str) -> Column:
@@ -336,16 +347,24 @@ def _assemble(path: str):
     return run
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a batch as one row."""
+    for batch in batches:
+        if batch.num_rows:
+            words = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("word"))
+            yield pa.RecordBatch.from_arrays([words], names=["fold"])
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words as hashes, and their ids, in flat arrays: one row for each batch."""
     for batch in batches:
-        data, bounds = ta.utf8(batch.column("word"))
-        ids, n = _numbers(batch.column("ids"))
+        data, bounds = ta.utf8(batch.column("fold").flatten())
+        ids, n = _numbers(batch.column("coded").flatten())
         row = ta.hash_words(data, bounds[:-1], bounds[1:]), n.astype(np.uint8), ids
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["hashes", "n", "ids"])
 
 
-def _frequent(docs: DataFrame, path: str, most: int) -> _Dictionary:
+def _frequent(docs: DataFrame, ranks: DataFrame, path: str, most: int) -> _Dictionary:
     """The ids of the words counted most, folded once each."""
     words = docs.mapInArrow(_count, "word string, n long")
     counted = materialise(words.groupBy("word").agg(F.sum("n").alias("count")), "bpe-words")
@@ -360,7 +379,7 @@ def _frequent(docs: DataFrame, path: str, most: int) -> _Dictionary:
     picked = counted.filter(F.col("count") >= (least if least is not None else 1 << 62)).select("word")
     # a word is about a hundred microseconds of work: many small tasks
     tasks = max(1, min(4096, total // 20000 + 1))
-    coded = picked.repartition(tasks).select("word", fold_word(F.col("word"), path).alias("ids"))
+    coded = fold_words(picked.repartition(tasks).mapInArrow(_lists, "fold array<string>"), ranks, path)
     rows = materialise(coded.mapInArrow(_hashed, "hashes binary, n binary, ids binary"), "bpe-dictionary").collect()
     arrays = [np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.uint8, np.uint16))]
     return _Dictionary(*arrays)
@@ -375,12 +394,12 @@ def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DIC
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     docs = docs.drop("ids", "decoded").withColumn("text", F.col("text").cast("string"))
-    known = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select("text"), path, dictionary))
+    ranks = rank_table(docs.sparkSession, path)
+    known = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select("text"), ranks, path, dictionary))
     ta.release()
     columns = [c for c in docs.columns if c != "text"]
     cut = docs.mapInArrow(_cut(path, known, columns), _CUT)
-    fold = _let(_rank_map(path), lambda table: F.transform("fold", lambda w: _fold(w, table, path)))
-    coded = cut.withColumn("coded", fold).drop("fold")
+    coded = fold_words(cut, ranks, path).drop("fold")
     schema = docs.drop("text").withColumns({"ids": F.lit(b""), "decoded": F.lit(b"")}).schema
     return coded.mapInArrow(_assemble(path), schema)
 

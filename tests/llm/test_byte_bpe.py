@@ -47,6 +47,11 @@ def test_words_are_those_of_the_pattern():
     assert [len(x) for x in bb.cut_words([])] == [0, 0, 0, 0]
 
 
+def test_plans_do_not_spell_out_the_ranks(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    assert len(bb.encode(docs, dictionary=40)._jdf.queryExecution().toString()) < 100_000
+
+
 def test_empty_table(spark):
     assert bb.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
