@@ -9,7 +9,8 @@ registers of small sets agree one by one as those of large ones do, and a pair o
 any size at the threshold shares a band with all but about
 ``(1 - t^ROWS)^BANDS`` = 2e-7 probability (4e-9 at 80%, with 64 bands of 6).
 
-1. Equal sets are one class, known by a 128-bit fingerprint.
+1. Equal sets are one class, known by a 128-bit fingerprint. One pass over the texts makes
+   fingerprints and band keys; only classes that share a bucket get registers, and only their texts move.
 2. In each bucket of a band the classes meet its pivot, the one that shares the
    most bands with others; each class keeps the ``PIVOTS`` met most often. Pairs whose estimate,
    corrected for registers that agree by chance, lies ``SURE`` standard
@@ -124,7 +125,7 @@ def band_rows(percent: int) -> int:
 def band_keys(dense: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A key for each ``rows`` of a row of filled registers; a band takes registers far apart."""
     key = np.zeros((len(dense), REGISTERS // rows), _U)
-    for row in dense.reshape(len(dense), rows, -1).transpose(1, 0, 2):
+    for row in dense.reshape(len(dense), rows, REGISTERS // rows).transpose(1, 0, 2):
         key = ta.mix(key ^ row, 31)
     return key
 
@@ -158,26 +159,34 @@ def _fingerprint(runs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in ta.slices(batches, "text"):
-        runs, first = shingles(batch.column("text"))
-        one, two = _fingerprint(runs, first)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(one), pa.array(two)], names=["doc_id", "n", "one", "two"])
+def _sets(percent: int):
+    """Size, fingerprint and band keys of each text; no keys where a link would need an equal set, or without an id."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ta.slices(batches, "text"):
+            runs, first = shingles(batch.column("text"))
+            n, (one, two) = np.diff(first), _fingerprint(runs, first)
+            wide = (n * (100 - percent) >= percent) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            runs, first = runs[np.repeat(wide, n)], np.concatenate(([0], np.cumsum(n[wide])))
+            keys = band_keys(filled(registers(runs, first), runs, first), band_rows(percent)).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(wide * keys.shape[1]))).astype(np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(one), pa.array(two), lists], names=["doc_id", "n", "one", "two", "keys"])
+
+    return run
 
-def _registers(rows: int):
-    """Registers and band keys of the class that a text stands for."""
+
+def _candidates(percent: int):
+    """All that comparing a text with others takes: band keys, registers and the text itself, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ta.slices(batches, "text"):
             runs, first = shingles(batch.column("text"))
             table = registers(runs, first)
-            keys = band_keys(filled(table, runs, first), rows).view(np.int64)
+            keys = band_keys(filled(table, runs, first), band_rows(percent)).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
-            one, two = _fingerprint(runs, first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(one), pa.array(two), lists, pa.array([r.tobytes() for r in table], pa.binary())],
-                names=["doc_id", "n", "one", "two", "keys", "registers"],
+                [batch.column("doc_id"), pa.array(_fingerprint(runs, first)[0]), pa.array(np.diff(first)), lists, pa.array([r.tobytes() for r in table], pa.binary()), *ta.pack(batch.column("text"))],
+                names=["doc_id", "id", "n", "keys", "registers", "packed", "size"],
             )
 
     return run
@@ -211,15 +220,14 @@ def _across(percent: int):
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        band, _, low, high = (k.as_py() for k in key)
+        low, high = (k.as_py() for k in key[2:])
         runs, first = shingles(ta.unpack(rows.column("packed").combine_chunks(), rows.column("size")))
         ids = rows.column("id").to_numpy()
-        is_own = _fingerprint(runs, first)[0] == ids  # not another text with the same document id
         block, n = rows.column("block").to_numpy(), rows.column("n").to_numpy()
-        table, keys = _table(rows.column("registers")), np.array(rows.column("keys").to_pylist(), np.int64)[:, :band]
+        table, keys = _table(rows.column("registers")), np.array(rows.column("earlier").to_pylist(), np.int64)
         group = np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]
         out = []
-        side = [np.flatnonzero((block == b) & is_own) for b in (low, high)]
+        side = [np.flatnonzero(block == b) for b in (low, high)]
         for i in side[0]:
             others = side[1][(group[side[1]] != group[i]) & ((side[1] > i) if low == high else True)]
             others = others[~(keys[others] == keys[i]).any(1)]
@@ -244,10 +252,8 @@ def _confirm(percent: int):
             runs, first = shingles(ta.unpack(batch.column("packed"), batch.column("size")))
             keys = [batch.column(c).to_numpy() for c in ("pivot", "chunk", "id")]
             links = []
-            for i, (p, c, x, is_own) in enumerate(zip(*keys, _fingerprint(runs, first)[0])):
+            for i, (p, c, x) in enumerate(zip(*keys)):
                 mine = runs[first[i] : first[i + 1]]
-                if is_own != x:  # another text with the same document id
-                    continue
                 if x == p:
                     pivot, own = (p, c), mine.copy()
                 elif pivot == (p, c) and _links(own, mine, percent):
@@ -258,22 +264,13 @@ def _confirm(percent: int):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in ta.slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *ta.pack(batch.column("text"))], names=["id", "packed", "size"])
-
-
-def _packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    return texts.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(_pack, "id long, packed binary, size long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links; many partners of one class are dealt to several tasks."""
     chunks = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(chunks, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk"), F.col("b").alias("id"))
     dealt = materialise(dealt, "pairs")
     all_rows = dealt.union(dealt.select("pivot", "chunk", F.col("pivot").alias("id")).distinct())
-    together = all_rows.join(_packed(texts, all_rows), "id").withColumn("later", F.col("id") != F.col("pivot"))
+    together = all_rows.join(table.select("id", "packed", "size"), "id").withColumn("later", F.col("id") != F.col("pivot"))
     return together.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "later").mapInArrow(_confirm(percent), "a long, b long")
 
 
@@ -291,21 +288,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     is kept. Other columns are not used. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sets = materialise(docs.mapInArrow(_sets, "doc_id long, n long, one long, two long"), "sets")
+    # keys are written with the sets, so that no text moves for them
+    sets = materialise(docs.mapInArrow(_sets(percent), "doc_id long, n long, one long, two long, keys array<long>"), "sets")
     linked = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     # a class is known by half of its fingerprint, and read from its smallest document
     classes = classes.select(F.col("one").alias("id"), "doc_id", "n", "one", "two")
     # a set too small for one shingle more to stay within the threshold links with equal sets only
-    wide = classes.filter(F.col("n") * (100 - percent) >= percent)
-    of_class = docs.join(wide.select("doc_id").distinct(), "doc_id", "left_semi")
-    made = of_class.mapInArrow(_registers(band_rows(percent)), "doc_id long, n long, one long, two long, keys array<long>, registers binary")
-    made = made.withColumn("id", F.col("one"))
-    # documents with one id may hold several texts; each class keeps the one that it is read from
-    table = materialise(made.join(wide.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "n", "keys", "registers"), "registers")
-    banded = table.select("id", F.posexplode("keys").alias("band", "code")).select("band", F.xxhash64("band", "code").alias("bucket"), "id")
+    wide = classes.filter(F.col("n") * (100 - percent) >= percent).select("id", "doc_id").dropDuplicates(["id"])
+    # documents with one id may hold several texts, and rows may repeat; each class keeps one that it is read from
+    of_class = sets.select(F.col("one").alias("id"), "doc_id", "keys").join(wide, ["id", "doc_id"], "left_semi").dropDuplicates(["id", "doc_id"])
+    banded = of_class.select("id", F.posexplode("keys").alias("band", "code")).select("band", F.xxhash64("band", "code").alias("bucket"), "id")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = materialise(banded.join(buckets, "bucket"), "buckets")
+    # most classes share no bucket; from here on only the others and their texts are read
+    needed = materialise(wide.join(members.select("id").distinct(), "id", "left_semi"), "needed")
+    made = docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    made = made.mapInArrow(_candidates(percent), "doc_id long, id long, n long, keys array<long>, registers binary, packed binary, size long")
+    table = materialise(made.join(needed, ["id", "doc_id"], "left_semi").dropDuplicates(["id", "doc_id"]).drop("doc_id"), "candidates")
     # the text that copies were made from shares bands with more of them than they do with one another
     degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
     pivots = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id"))["id"].alias("pivot"))
@@ -315,8 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     one = table.select(F.col("id").alias("a"), F.col("registers").alias("x"), F.col("n").alias("m"))
     two = table.select(F.col("id").alias("b"), F.col("registers").alias("y"), "n")
     tried = materialise(star.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_estimate(percent), "a long, b long"), "tried")
-    texts = docs.join(wide.select("id", "doc_id"), "doc_id").select("id", "text")
-    links = materialise(_verified(tried, texts, percent), "verified")
+    links = materialise(_verified(tried, table, percent), "verified")
     label = materialise(_labels(table, links), "labels")
     labelled = members.select("band", "bucket", "id", "members").join(label, "id")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).filter("low_label <> high_label").select("bucket")
@@ -325,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("band", "bucket", "id", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     rows = materialise(rows, "mixed-buckets")
-    full = rows.join(table, "id").join(_packed(texts, rows), "id")
+    full = rows.join(table, "id").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band"))).drop("keys")
     more = materialise(full.groupBy("band", "bucket", "low", "high").applyInArrow(_across(percent), "a long, b long"), "verified")
     # classes by their smallest document, and all documents of a class by that one
     ids = classes.select("id", "doc_id")

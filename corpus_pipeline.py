@@ -43,13 +43,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, text, row`` with ``key``, one row for each document: the id, or a large number made from id and text where the id does not name one text."""
     own = _own(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
     print_of = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    several = own.groupBy("doc_id").agg(F.min(print_of).alias("low"), F.max(print_of).alias("high")).filter("low <> high")
-    several = several.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("its_id"))
+    # written first, so that a short list is broadcast and the texts stay where they are
+    repeated = own.groupBy("doc_id").agg(F.count("*").alias("copies"), (F.min(print_of) != F.max(print_of)).alias("several")).filter("copies > 1 AND doc_id IS NOT NULL")
+    repeated = materialise(repeated.withColumnRenamed("doc_id", "its_id"), "repeated-ids")
     made = F.xxhash64("doc_id", print_of).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
-    named = own.join(several, F.col("doc_id") == F.col("its_id"), "left")
-    named = named.withColumn("key", F.when(F.col("doc_id").isNull() | F.col("its_id").isNotNull(), made).otherwise(F.col("doc_id"))).drop("its_id")
+    named = own.join(repeated, F.col("doc_id") == F.col("its_id"), "left")
+    named = named.withColumn("key", F.when(F.col("doc_id").isNull() | F.col("several"), made).otherwise(F.col("doc_id")))
+    # one condition on both sides of the join, so that a join that is not broadcast is made once for both parts
+    named = named.withColumn("copies", F.coalesce("copies", F.when(F.col("doc_id").isNull(), 2).otherwise(1))).drop("its_id", "several")
     first = Window.partitionBy("key").orderBy(F.to_json("row"))
-    return named.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
+    firsts = named.filter("copies > 1").withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
+    return named.filter("copies = 1").union(firsts).drop("copies")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +68,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, that of the smallest id; documents without words stay."""
     keyed = materialise(_keyed(docs), "documents")
     found = hyperminhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), percent=PERCENT)
-    kept = found.filter("kept").select(F.col("doc_id").alias("key"))
-    return _back(keyed.join(kept, "key", "left_semi"), docs.columns)
+    dropped = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("key")), "dropped")
+    return _back(keyed.join(dropped, "key", "left_anti"), docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,3 +131,18 @@ def test_threshold_of_four_fifths(spark):
             linked |= {d + 1} if near else set()
     assert {r[0] for r in got(spark, rows, percent=80) if not r[3]} == linked
     assert [hm.band_rows(p) for p in (80, 85)] == [6, 8]
+
+
+def test_only_classes_that_share_a_bucket_get_registers_and_move(spark, monkeypatch):
+    written, write = {}, hm.materialise
+
+    def kept(df, name):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(hm, "materialise", kept)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(40))) for i in range(100)]
+    # a near copy, and an exact copy under another id and under the same one
+    rows += [(200, rows[7][1] + " more"), (201, rows[8][1]), (9, rows[9][1])]
+    assert got(spark, rows) == brute(rows)
+    assert [t.count() for t in written.values() if "registers" in t.columns] == [2]

@@ -121,3 +121,13 @@ def test_clashing_columns_and_odd_rows_pass_all_stages(spark):
     assert {r.doc_id for r in run_stages(spark, mixed, ["tokens"]).collect()} == {r.doc_id for r in mixed.collect()}
     judged = corpus_pipeline.quality(spark, docs, SF_DIR)
     assert judged.columns == docs.columns and all(r["score"] in (None, f"score{r['doc_id']}") for r in (x.asDict() for x in judged.collect()))
+
+
+def test_texts_are_not_shuffled_to_find_repeated_ids(spark):
+    data = [(i, words_from(i, 5), "en", "s", 1) for i in range(50)]
+    for more in [], [(3, "x", "en", "s", 1), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1), data[4]]:
+        keyed = corpus_pipeline._keyed(spark.createDataFrame(data + more, SCHEMA))
+        assert "hashpartitioning(doc_id" not in keyed._jdf.queryExecution().executedPlan().toString()
+        found = keyed.collect()
+        assert len({r.key for r in found}) == len(found) == 50 + 2 * bool(more)
+        assert sorted((r.doc_id, r.text) for r in found if r.doc_id is not None) == sorted((r[0], r[1]) for r in data + more[:1])
