@@ -329,7 +329,7 @@ def _assemble(path: str):
             for k in range(batch.num_rows):
                 get = lambda c, t: np.frombuffer(batch.column(c)[k].as_buffer(), t)  # noqa: B023, E731
                 words, n = get("words", np.int32), get("n", np.int64)
-                with pa.ipc.open_stream(batch.column("kept")[k].as_buffer()) as stream:
+                with pa.ipc.open_stream(batch.column("kept")[k].as_py()) as stream:  # a copy: rows that are still in use keep no batch
                     kept = stream.read_all().combine_chunks()
                 folded = batch.column("coded")[k].values
                 fold_ids, fold_n = _numbers(folded if folded is not None else pa.array([], pa.string()))
@@ -342,6 +342,7 @@ def _assemble(path: str):
                 arrays = [kept.column(c).combine_chunks() if kept.column(c).num_chunks != 1 else kept.column(c).chunk(0) for c in kept.column_names]
                 wide = ids.astype("<u4").view(np.uint8)
                 yield pa.RecordBatch.from_arrays([*arrays, _binary(wide, 4 * np.diff(cuts)), _binary(decoded, np.diff(ends))], names=[*kept.column_names, "ids", "decoded"])
+        batch = get = words = n = folded = None
         ta.release()
 
     return run

@@ -42,6 +42,8 @@ PIVOTS, SURE = 3, 4.5
 MISSED = 3e-7
 #: Classes in a block of a bucket, and copies that one task verifies with a pivot.
 BLOCK, CHUNK = 256, 256
+#: Bytes of text whose shingles are made at once; a byte takes about 30 meanwhile.
+SLICE = 1 << 18
 _EMPTY = np.uint16(0xFFFF)
 _U = np.uint64
 #: Products that are made at once for empty registers; bounds memory and fits a cache.
@@ -163,7 +165,7 @@ def _sets(percent: int):
     """Size, fingerprint and band keys of each text; no keys where a link would need an equal set, or without an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ta.slices(batches, "text"):
+        for batch in ta.slices(batches, "text", SLICE):
             runs, first = shingles(batch.column("text"))
             n, (one, two) = np.diff(first), _fingerprint(runs, first)
             wide = (n * (100 - percent) >= percent) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -179,7 +181,7 @@ def _candidates(percent: int):
     """All that comparing a text with others takes: band keys, registers and the text itself, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ta.slices(batches, "text"):
+        for batch in ta.slices(batches, "text", SLICE):
             runs, first = shingles(batch.column("text"))
             table = registers(runs, first)
             keys = band_keys(filled(table, runs, first), band_rows(percent)).view(np.int64)
@@ -248,7 +250,7 @@ def _confirm(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, None
-        for batch in ta.slices(batches, "size"):
+        for batch in ta.slices(batches, "size", SLICE):
             runs, first = shingles(ta.unpack(batch.column("packed"), batch.column("size")))
             keys = [batch.column(c).to_numpy() for c in ("pivot", "chunk", "id")]
             links = []

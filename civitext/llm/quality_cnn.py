@@ -31,9 +31,9 @@ def _halves(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = np.maximum((np.diff(bounds) + HALF - 1) // HALF, 1)
     first = np.concatenate(([0], np.cumsum(n)))
     flat = np.zeros(first[-1] * HALF + WIDTH, np.uint8)
-    source = np.arange(len(data))
-    text = np.repeat(np.arange(len(n)), np.diff(bounds))
-    flat[source - bounds[text] + first[text] * HALF] = data
+    place = np.repeat(first[:-1] * HALF - bounds[:-1], np.diff(bounds))
+    place += np.arange(len(data))
+    flat[place] = data
     rows = np.lib.stride_tricks.as_strided(flat, (first[-1], HALF + WIDTH - STRIDE), (HALF, 1)).copy()
     rows[first[1:] - 1, HALF:] = 0  # nothing of the next text
     return rows, first

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are hashed at once; bounds the memory of a task.
+#: Bytes of text in a slice of a batch; bounds the memory of a task.
 BLOCK = 1 << 20
+#: Bytes that are hashed at once, or one word: a byte takes about 50 meanwhile, and 16 for its powers until the end of the task.
+HASHED = 1 << 17
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -42,16 +44,20 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Powers:
-    """Powers of a base, kept up to the longest block asked for."""
+    """Powers of a base, kept up to the longest block asked for until :func:`release`."""
 
     def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.zeros(0, _U), np.zeros(0, _U)
+        self.base = base
+        self.clear()
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             self.up, self.down = _powers(self.base, n)
         return self.up[:n], self.down[:n]
 
+    def clear(self) -> None:
+        self.up, self.down = np.zeros(0, _U), np.zeros(0, _U)
+
 
 _BYTE_POWERS = _Powers(0xD1342543DE82EF95)
 _WORD_POWERS = (_Powers(0x2545F4914F6CDD1D), _Powers(0x9FB21C651E98DF25))
@@ -59,7 +65,9 @@ _BYTE_VALUE = mix(np.arange(256, dtype=_U), 7)
 
 
 def release() -> None:
-    """Gives freed memory back to the system: an idle Python worker otherwise keeps what its largest slice took."""
+    """Gives freed memory and the powers back to the system: an idle Python worker otherwise keeps what its largest slice took."""
+    for powers in (_BYTE_POWERS, *_WORD_POWERS):
+        powers.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -68,7 +76,8 @@ def release() -> None:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices with at most ``limit`` bytes of text, or one row.
 
-    ``column`` holds the texts, or their sizes.
+    ``column`` holds the texts, or their sizes. A slice is a copy: one that is still
+    in use when the task ends would keep its whole batch in an idle worker.
     """
     for batch in batches:
         sizes = batch.column(column)
@@ -78,8 +87,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
-            yield batch.slice(at, upto - at)
+            part = batch.slice(at, upto - at)
+            yield part if part.num_rows == batch.num_rows else pa.ipc.read_record_batch(part.serialize(), part.schema)
             at = upto
+    batch = sizes = part = None
     release()
 
 
@@ -133,7 +144,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     with np.errstate(over="ignore"):
         while at < len(starts):
             low = starts[at]
-            upto = max(at + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+            upto = max(at + 1, int(np.searchsorted(ends, low + HASHED, "right")))
             high = ends[upto - 1]
             up, down = _BYTE_POWERS.upto(int(high - low))
             sums = np.zeros(high - low + 1, _U)
