@@ -295,8 +295,8 @@ def _cut(path: str, dictionary, columns: list[str]):
             folded = np.flatnonzero(left & ~large)
             # distinct words in the order of their ids: known, long, folded
             order = np.concatenate([np.flatnonzero(hit), np.flatnonzero(left & large), folded])
-            number = np.empty(len(order), np.int32)
-            number[order] = np.arange(len(order), dtype=np.int32)
+            number = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.int32)
+            number[order] = np.arange(len(order), dtype=number.dtype)
             kept = pa.table({c: batch.column(c) for c in columns})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kept.schema) as out:
@@ -328,7 +328,8 @@ def _assemble(path: str):
         for batch in batches:
             for k in range(batch.num_rows):
                 get = lambda c, t: np.frombuffer(batch.column(c)[k].as_buffer(), t)  # noqa: B023, E731
-                words, n = get("words", np.int32), get("n", np.int64)
+                n = get("n", np.int64)
+                words = get("words", np.uint16 if len(batch.column("words")[k].as_buffer()) == 2 * n.sum() else np.int32)
                 with pa.ipc.open_stream(batch.column("kept")[k].as_py()) as stream:  # a copy: rows that are still in use keep no batch
                     kept = stream.read_all().combine_chunks()
                 folded = batch.column("coded")[k].values
@@ -380,7 +381,7 @@ def _frequent(docs: DataFrame, ranks: DataFrame, path: str, most: int) -> _Dicti
     picked = counted.filter(F.col("count") >= (least if least is not None else 1 << 62)).select("word")
     # a word is about a hundred microseconds of work: many small tasks
     tasks = max(1, min(4096, total // 20000 + 1))
-    coded = fold_words(picked.repartition(tasks).mapInArrow(_lists, "fold array<string>"), ranks, path)
+    coded = materialise(fold_words(picked.repartition(tasks).mapInArrow(_lists, "fold array<string>"), ranks, path), "bpe-folded")
     rows = materialise(coded.mapInArrow(_hashed, "hashes binary, n binary, ids binary"), "bpe-dictionary").collect()
     arrays = [np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.uint8, np.uint16))]
     return _Dictionary(*arrays)
@@ -391,7 +392,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DIC
 
     A null or empty text has no ids. All rows and other columns stay, repeated
     rows included; columns named ``ids`` or ``decoded`` are replaced. An empty
-    table gives an empty result. No shuffle moves texts.
+    table gives an empty result. No shuffle moves texts; word numbers and ids are
+    written to the scratch folder once.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     docs = docs.drop("ids", "decoded").withColumn("text", F.col("text").cast("string"))
@@ -400,7 +402,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DIC
     ta.release()
     columns = [c for c in docs.columns if c != "text"]
     cut = docs.mapInArrow(_cut(path, known, columns), _CUT)
-    coded = fold_words(cut, ranks, path).drop("fold")
+    # written, as cutting and assembling in one stage would take two Python workers for each core
+    coded = materialise(fold_words(cut, ranks, path).drop("fold"), "bpe-cut")
     schema = docs.drop("text").withColumns({"ids": F.lit(b""), "decoded": F.lit(b"")}).schema
     return coded.mapInArrow(_assemble(path), schema)
 

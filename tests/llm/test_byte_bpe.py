@@ -52,6 +52,19 @@ def test_plans_do_not_spell_out_the_ranks(spark):
     assert len(bb.encode(docs, dictionary=40)._jdf.queryExecution().toString()) < 100_000
 
 
+def test_a_stage_has_one_python_worker_for_each_task(spark):
+    plan = bb.encode(spark.createDataFrame([(1, "some words")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_many_distinct_words_in_one_text(spark):
+    text = " ".join(f"{a}{b}{c}{d}" for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopq" for c in "rstuvwxyzrstuvwx" for d in "abcdefghijklmno"[: 8 + (c > "t")])
+    text += "".join(chr(0x4E00 + k) + " " for k in range(20000)) + " ".join(f"{chr(0x4E00 + k)}{chr(0x5E00 + j)}" for k in range(250) for j in range(250))
+    assert len(set(text.split())) > 1 << 16
+    [row] = bb.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), dictionary=1 << 21).collect()
+    assert bytes(row.ids) == ids_of(text) and bytes(row.decoded) == text.encode()
+
+
 def test_empty_table(spark):
     assert bb.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
