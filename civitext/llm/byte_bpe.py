@@ -403,7 +403,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, dictionary: int = DIC
     columns = [c for c in docs.columns if c != "text"]
     cut = docs.mapInArrow(_cut(path, known, columns), _CUT)
     # written, as cutting and assembling in one stage would take two Python workers for each core
-    coded = materialise(fold_words(cut, ranks, path).drop("fold"), "bpe-cut")
+    coded = materialise(fold_words(cut, ranks, path).drop("fold"), "bpe-cut", "zstd")
     schema = docs.drop("text").withColumns({"ids": F.lit(b""), "decoded": F.lit(b"")}).schema
     return coded.mapInArrow(_assemble(path), schema)
 
